@@ -1 +1 @@
-"""Functions of the engine."""
+"""Column functions: hashing, strings, entropy, versions, names, numbers and addresses."""
