@@ -52,6 +52,7 @@ _NAMES = re.compile(
     r"comment|comments|disqus|replies|respond|comment-?list|search|pagination|pager|skip-?link|toolbar)(?:$|[-_\s\d])",
     re.I,
 )
+_ASIDE = re.compile(r"(?:^|\s)(?:comment|comment-\d+|comment-body|reply|ad|advert|promo|sponsored|related|teaser)(?:$|\s)", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:-->|\Z)|!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|(?P<other>[!?][^>]*)(?:>|\Z)|(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<attributes>(?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -74,8 +75,10 @@ def _unwanted(name: str, attributes: str, content: bool) -> bool:
     found = {k.lower(): a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in _ROLES:
         return True
-    if name in ("html", "body", "article", "main"):
+    if name in ("html", "body", "main"):
         return False
+    if name == "article":  # its class may tell of the page's layout; only what it is itself counts
+        return bool(_ASIDE.search(found.get("class", "")) or _ASIDE.search(found.get("id", "")))
     return bool(_NAMES.search(found.get("class", "")) or _NAMES.search(found.get("id", "")))
 
 
