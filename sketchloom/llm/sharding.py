@@ -1,9 +1,9 @@
 """Sharding by balanced label propagation.
 
 Documents start on a shard given by a hash.  Linked documents (equal texts) then move, in
-rounds of Spark joins, to the shard where most of their neighbours are: moves between two
-shards are granted up to what comes back plus the target's spare room under a capacity, so
-sizes stay even while edges are cut less and less.  A last step moves surplus rows, single
+rounds of Spark joins, to the shard where most of their neighbours are: moves to a shard are
+granted up to its spare room under a capacity plus what leaves it, so sizes stay even while
+edges are cut less and less.  A last step moves surplus rows, single
 documents first, to shards with room, until row counts differ by at most one.
 
 The state of the rounds is a table of cells: documents of one text that started on one
@@ -30,7 +30,7 @@ from .common import durable, join_checked
 @dataclass(frozen=True)
 class Sharding:
     shards: int = 40
-    rounds: int = 6
+    rounds: int = 8
     #: Room above an even share that a shard may use between rounds, in %.
     slack_percent: int = 3
     #: Rows that one task numbers at once, about.
@@ -41,6 +41,19 @@ def _chance(*parts: Column) -> Column:
     return F.xxhash64(*parts).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
 
 
+def admitted(flows: dict[tuple[int, int], int], spare: list[float], k: int) -> list[float]:
+    """By target: the share of the wished moves that fits into its spare room and what leaves it.
+
+    What leaves depends on the other shards' shares; they are lowered from 1 until all agree.
+    """
+    share = [1.0] * k
+    into = [sum(n for (_, t), n in flows.items() if t == j) for j in range(k)]
+    for _ in range(50):
+        out = [sum(n * share[t] for (s, t), n in flows.items() if s == j) for j in range(k)]
+        share = [min(x, (spare[j] + out[j]) / into[j]) if into[j] else 1.0 for j, x in enumerate(share)]
+    return [float(x) for x in share]
+
+
 def propagate(cells: DataFrame, sizes: list[int], params: Sharding) -> DataFrame:
     """Labels of cells (g, s0, n) after the rounds: (g, s0, n, s)."""
     spark, k = cells.sparkSession, params.shards
@@ -59,14 +72,11 @@ def propagate(cells: DataFrame, sizes: list[int], params: Sharding) -> DataFrame
         if fixed is None:  # rows without links stay where they are
             fixed = [sizes[j] - own.get(j, 0) for j in range(k)]
         spare = [max(0.0, cap - fixed[j] - own.get(j, 0)) for j in range(k)]
-        into = [sum(n for (_, t), n in flows.items() if t == j) for j in range(k)]
-        quota = {(a, b): min(n, flows.get((b, a), 0) + spare[b] * n / into[b]) for (a, b), n in flows.items()}
-        table = spark.createDataFrame([(a, b, float(q / flows[a, b]), float(q)) for (a, b), q in quota.items()], "s int, t int, share double, quota double")
-        moves = (F.col("n") <= F.col("quota")) & (_chance(F.col("g"), F.col("s0"), F.lit(step)) < F.col("share"))
-        moved = wish.join(F.broadcast(table), ["s", "t"], "left")  # at most shards^2 rows
+        share = admitted(flows, spare, k)
+        table = spark.createDataFrame([(t, share[t], share[t] * sum(n for (_, x), n in flows.items() if x == t)) for t in range(k)], "t int, share double, quota double")
+        moves = (F.col("s") != F.col("t")) & (F.col("n") <= F.col("quota")) & (_chance(F.col("g"), F.col("s0"), F.lit(step)) < F.col("share"))
+        moved = wish.join(F.broadcast(table), "t")  # one row a shard
         cells = durable(moved.select("g", "s0", "n", F.when(moves, F.col("t")).otherwise(F.col("s")).alias("s")))
-        if all(q < 1 for q in quota.values()):
-            break
     return cells
 
 
