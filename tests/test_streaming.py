@@ -10,7 +10,7 @@ from sketchloom.streaming import stateful
 
 @pytest.fixture(scope="module")
 def events(spark, sf, tmp_path_factory):
-    path = str(tmp_path_factory.mktemp("events"))
+    path = str(tmp_path_factory.mktemp("events") / "table")
     load(spark, sf, "events").select("event_id", "user_id", "ts").orderBy("ts").coalesce(1).write.parquet(path)
     return path
 
