@@ -214,3 +214,49 @@ def combine_table(shares: DataFrame, key: str) -> DataFrame:
         return pd.DataFrame({key: [pdf[key].iloc[0]], "secret": [combine(points, threshold, int(pdf["length"].iloc[0]))], "verified": [verify(points, threshold)]})
 
     return shares.groupBy(key).applyInPandas(run, f"`{key}` {kinds[key]}, secret binary, verified boolean")
+
+
+def split_bytes_table(df: DataFrame, key: str, data: str, threshold: int, total: int, seed=None) -> DataFrame:
+    """(key, length, threshold, x, ys) for data of any length: ``total`` rows, one number for each block of 31 bytes."""
+    kinds = dict(df.dtypes)
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(k, len(s), threshold, x, [str(y) for y in ys]) for k, s in zip(pdf[key], pdf["_data"], strict=True) for x, ys in split_bytes(s, threshold, total, None if seed is None else f"{seed}:{k}")]
+            yield pd.DataFrame(rows, columns=[key, "length", "threshold", "x", "ys"])
+
+    return df.select(key, F.col(data).cast("binary").alias("_data")).mapInPandas(run, f"`{key}` {kinds[key]}, length int, threshold int, x int, ys array<string>")
+
+
+def combine_bytes_table(shares: DataFrame, key: str) -> DataFrame:
+    """(key, data) from rows of ``split_bytes_table``; a key's shares are few by construction."""
+    kinds = dict(shares.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("x")
+        parts = [(int(x), [int(y) for y in ys]) for x, ys in zip(pdf["x"], pdf["ys"], strict=True)]
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "data": [combine_bytes(parts, int(pdf["threshold"].iloc[0]), int(pdf["length"].iloc[0]))]})
+
+    return shares.groupBy(key).applyInPandas(run, f"`{key}` {kinds[key]}, data binary")
+
+
+def split_gf256_table(df: DataFrame, key: str, data: str, threshold: int, total: int, seed=None) -> DataFrame:
+    """(key, share): ``total`` bytewise shares for each secret."""
+    kinds = dict(df.dtypes)
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(k, x) for k, s in zip(pdf[key], pdf["_data"], strict=True) for x in split_gf256(s, threshold, total, None if seed is None else f"{seed}:{k}")]
+            yield pd.DataFrame(rows, columns=[key, "share"])
+
+    return df.select(key, F.col(data).cast("binary").alias("_data")).mapInPandas(run, f"`{key}` {kinds[key]}, share binary")
+
+
+def combine_gf256_table(shares: DataFrame, key: str) -> DataFrame:
+    """(key, data) from all shares of each key."""
+    kinds = dict(shares.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "data": [combine_gf256([bytes(x) for x in pdf["share"]])]})
+
+    return shares.groupBy(key).applyInPandas(run, f"`{key}` {kinds[key]}, data binary")

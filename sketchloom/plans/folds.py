@@ -154,6 +154,14 @@ def cdc_7_digest(spark, sf):
     return load(spark, sf, "documents").select("doc_id", digest(F.col("text")).alias("h"), digest32(F.col("text")).alias("h32"), digest64(F.col("text")).alias("h64"))
 
 
+@query("SELECT sum(octet_length(encode(text)))::BIGINT AS bytes, count(*) FILTER (WHERE octet_length(encode(text)) > 0) AS documents, true AS gapless FROM documents")
+def cdc_6_coverage(spark, sf):
+    """Chunks of a document are contiguous and cover it."""
+    chunks = chunking.chunk(load(spark, sf, "documents"), "text", ["doc_id"], _SIZES)
+    each = chunks.groupBy("doc_id").agg(F.sum("length").alias("n"), (F.sum("length") == F.max(F.col("offset") + F.col("length"))).alias("ok"))
+    return each.agg(F.sum("n").alias("bytes"), F.count("*").alias("documents"), F.bool_and("ok").alias("gapless"))
+
+
 @query()
 def cdc_8_dedup(spark, sf):
     return chunking.duplicates(chunking.chunk(load(spark, sf, "pages"), "html", ["page_id"], _SIZES))
@@ -170,6 +178,19 @@ def sh_1_shares(spark, sf):
     return secrets.split_table(load(spark, sf, "supplier"), "s_suppkey", "s_name", 2, 3, seed=2)
 
 
+@query("SELECT s_suppkey, s_name || ' ' || repeat(s_name, 3) AS data FROM supplier")
+def sh_5_chunked(spark, sf):
+    suppliers = load(spark, sf, "supplier").select("s_suppkey", F.concat_ws(" ", "s_name", F.repeat("s_name", 3)).alias("d"))
+    shares = secrets.split_bytes_table(suppliers, "s_suppkey", "d", 2, 4, seed=3).where("x <> 2")
+    return secrets.combine_bytes_table(shares, "s_suppkey").select("s_suppkey", F.col("data").cast("string").alias("data"))
+
+
+@query("SELECT c_custkey, c_name AS data FROM customer")
+def sh_6_gf256(spark, sf):
+    shares = secrets.split_gf256_table(load(spark, sf, "customer"), "c_custkey", "c_name", 3, 4, seed=4)
+    return secrets.combine_gf256_table(shares, "c_custkey").select("c_custkey", F.col("data").cast("string").alias("data"))
+
+
 @query()
 def arc_2_replay(spark, sf):
     events = load(spark, sf, "events").select("event_id", "event_type", "user_id", "ts")

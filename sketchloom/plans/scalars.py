@@ -114,6 +114,12 @@ def sv_1_parse(spark, sf):
     return v.select("l_orderkey", "l_linenumber", semver.to_text(F.col("v")).alias("version"), *(F.col(f"v.{c}").cast("long").alias(c) for c in ("major", "minor", "patch")), "v.prerelease", "v.build")
 
 
+@query("SELECT n_nationkey, n_nationkey % 3 = 0 AS valid, CASE n_nationkey % 3 WHEN 0 THEN concat(n_nationkey, '.1.0') END AS text FROM nation")
+def sv_2_valid(spark, sf):
+    raw = F.concat(F.when(F.pmod("n_nationkey", F.lit(3)) == 1, "x").otherwise("v"), F.col("n_nationkey"), F.lit(".1"), F.when(F.pmod("n_nationkey", F.lit(3)) == 2, ".0-01").otherwise(""))
+    return load(spark, sf, "nation").select("n_nationkey", semver.is_valid(raw).alias("valid"), semver.to_text(semver.parse(raw)).alias("text"))
+
+
 @query(f"""SELECT l_orderkey, l_linenumber, CASE WHEN (a, b, c) < (2, 5, 3) THEN -1 WHEN (a, b, c) > (2, 5, 3) THEN 1 WHEN k IN (0, 3) THEN 1 WHEN k = 2 THEN -1 WHEN r < 5 THEN -1 WHEN r > 5 THEN 1 ELSE 0 END AS cmp FROM ({_PARTS})""")
 def sv_3_compare(spark, sf):
     v = _versions(spark, sf)
@@ -160,6 +166,17 @@ def _prefix_table(spark, sf):
     return keys.withColumn("value", F.length("key"))
 
 
+@query(f"SELECT key, CASE WHEN key IN (SELECT substr(p_name, 1, 4) FROM part WHERE p_size < 10) THEN 0 ELSE length(key) END::INT AS value FROM ({_TABLE})")
+def rt_1_upsert(spark, sf):
+    changed = load(spark, sf, "part").where("p_size < 10").select(F.substring("p_name", 1, 4).alias("key"), F.lit(0).alias("value")).distinct()
+    return prefixes.upsert(_prefix_table(spark, sf), changed)
+
+
+@query(f"SELECT count(*) AS n, min(key) AS first, max(key) AS last FROM ({_TABLE})")
+def rt_7_keys(spark, sf):
+    return _prefix_table(spark, sf).agg(F.count("*").alias("n"), F.min("key").alias("first"), F.max("key").alias("last"))
+
+
 @query(f"SELECT p_name, CASE WHEN key IS NOT NULL THEN length(key)::INT END AS value FROM (SELECT DISTINCT substr(p_name, 1, 6) AS p_name FROM part) LEFT JOIN ({_TABLE}) ON key = p_name")
 def rt_2_get(spark, sf):
     probes = load(spark, sf, "part").select(F.substring("p_name", 1, 6).alias("p_name"))

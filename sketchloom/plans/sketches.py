@@ -101,6 +101,12 @@ def cm_5_merge(spark, sf):
     return countmin.merge(*parts)
 
 
+@query(f"SELECT event_type, user_id, round(sum(value * exp(-ln(2) / {DAY} * (epoch_us(TIMESTAMP '{NOW}') - epoch_us(ts)) / 1e6)), 4) AS rate FROM events WHERE ts <= TIMESTAMP '{NOW}' GROUP BY ALL")
+def cm_8_rate(spark, sf):
+    rates = heavy_hitters.decayed_sum(load(spark, sf, "events"), ["event_type", "user_id"], "ts", NOW, DAY, "value")
+    return rates.withColumn("rate", F.round("rate", 4))
+
+
 _BLOOM = bloom.Bloom.sized(3000, 0.01)
 _BITS = f"SELECT DISTINCT ((h >> 30) + i * (h & 1073741823)) & {_BLOOM.bits - 1} AS pos FROM (SELECT {h60_sql('l_partkey::VARCHAR')} AS h FROM lineitem WHERE l_quantity > 49), range(0, {_BLOOM.hashes}) r(i)"
 _HITS = f"""SELECT p_partkey, bool_and(b.pos IS NOT NULL) AS hit
@@ -147,6 +153,11 @@ def ck_2_table(spark, sf):
     return cuckoo.build(load(spark, sf, "customer"), "c_custkey", _CK)
 
 
+@query(f"SELECT b, fp, count(*)::BIGINT AS n FROM (SELECT {_place_sql('o_custkey')} FROM (SELECT DISTINCT o_custkey FROM orders)) GROUP BY b, fp")
+def ck_3_insert_unique(spark, sf):
+    return cuckoo.insert_unique(load(spark, sf, "orders"), "o_custkey", _CK)
+
+
 @query(f"""WITH t AS (SELECT DISTINCT {_place_sql('c_custkey')} FROM customer WHERE c_acctbal > 5000), p AS (SELECT DISTINCT o_custkey, {_place_sql('o_custkey')} FROM orders)
 SELECT o_custkey, EXISTS (SELECT 1 FROM t WHERE t.b = p.b AND t.fp = p.fp) AS hit FROM p""")
 def ck_4_contains(spark, sf):
