@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -203,7 +204,7 @@ def identify(docs: DataFrame, model: LanguageModel, columns: list[str], language
         scorer = Scorer(shared.value)
         for whole in batches:
             start = 0
-            sizes = pa.compute.binary_length(whole.column(at)).to_pylist()
+            sizes = pc.binary_length(whole.column(at)).to_pylist()
             while start < whole.num_rows or not whole.num_rows:
                 stop, size = start, 0
                 while stop < whole.num_rows and (size < 2_000_000 or stop == start):
@@ -217,8 +218,6 @@ def identify(docs: DataFrame, model: LanguageModel, columns: list[str], language
                 if not whole.num_rows:
                     break
 
-    import pyarrow.compute  # noqa: F401
-
     kinds = dict(source.dtypes)
     return source.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + f", {language} string, {score} double")
 

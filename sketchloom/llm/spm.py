@@ -252,7 +252,8 @@ def encode_documents(docs: DataFrame, model: str = DEFAULT_MODEL, with_ids: bool
 
     The model file must be readable at ``model`` by every executor.
     """
-    names = {k: unused(docs, k) for k in ("n_tokens", "ids_crc32", "decodes", "tokens")} if set(docs.columns) & {"n_tokens", "ids_crc32", "decodes", "tokens"} else {k: k for k in ("n_tokens", "ids_crc32", "decodes", "tokens")}
+    taken = {c.lower() for c in docs.columns}
+    names = {k: unused(docs, k) if k in taken else k for k in ("n_tokens", "ids_crc32", "decodes", "tokens")}  # clashing ones get a leading _
     at = docs.columns.index("text")
     kept = [c for c in docs.columns if with_text or c != "text"]
 
