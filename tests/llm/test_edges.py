@@ -31,10 +31,6 @@ def none(docs):
     return docs.limit(0)
 
 
-def by_id(df):
-    return {r["doc_id"]: r for r in df.collect()}
-
-
 def test_language_id(docs, none):
     rows = langid.predict_languages(docs).collect()
     assert len(rows) == len(ROWS)
@@ -114,10 +110,11 @@ def test_scores_without_training(spark):
 
 
 def test_pieces(docs, none):
-    rows = spm.encode_documents(docs).collect()
-    assert len(rows) == len(ROWS) and all(r["_decodes"] if "_decodes" in r.asDict() else True for r in rows)
     out = spm.encode_documents(docs)
-    assert out.columns[: len(docs.columns)] == docs.columns
+    assert out.columns == [*docs.columns, "_n_tokens", "ids_crc32", "decodes", "_tokens"]
+    rows = out.collect()
+    assert len(rows) == len(ROWS) and all(r["decodes"] and r["_n_tokens"] == len(r["_tokens"]) for r in rows)
+    assert {r["_n_tokens"] for r in rows if not r["text"]} == {0}
     assert spm.encode_documents(none).count() == 0
 
 
