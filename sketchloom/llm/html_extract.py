@@ -47,11 +47,13 @@ _CLOSES_P = _BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 _BARRIER = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tbody": {"table"}, "option": {"select"}}
 _NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ad|ads|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|widget|footer|foot|masthead|site-?header|page-?header|"
+    r"(?:^|[-_\s])(?:ad|ads|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|\w*nav|navbar|navigation|nav-?links|menu|menubar|breadcrumbs?|sidebar|side|widget|footer|foot|masthead|site-?header|page-?header|"
     r"cookies?|consent|gdpr|notice|notices|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|"
-    r"comment|comments|disqus|replies|respond|comment-?list|search|pagination|pager|skip-?link|toolbar)(?:$|[-_\s\d])",
+    r"top-?bar|copyright|disclaimer|comment|comments|disqus|replies|respond|comment-?list|search|pagination|pager|skip-?link|toolbar)(?:$|[-_\s\d])",
     re.I,
 )
+#: Names that mean the page's frame outside an article, and the article's own parts inside one.
+_FRAME = re.compile(r"(?:^|[\s])(?:header|heading|masthead|top|bottom|logo|brand|legal|tags|meta)(?:$|[\s])", re.I)
 _ASIDE = re.compile(r"(?:^|\s)(?:comment|comment-\d+|comment-body|reply|ad|advert|promo|sponsored|related|teaser)(?:$|\s)", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:-->|\Z)|!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|(?P<other>[!?][^>]*)(?:>|\Z)|(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<attributes>(?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z))""", re.S)
@@ -73,13 +75,14 @@ def _unwanted(name: str, attributes: str, content: bool) -> bool:
     if not attributes:
         return False
     found = {k.lower(): a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(attributes)}
-    if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in _ROLES:
+    if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower() or found.get("role", "").lower() in _ROLES:
         return True
     if name in ("html", "body", "main"):
         return False
     if name == "article":  # its class may tell of the page's layout; only what it is itself counts
         return bool(_ASIDE.search(found.get("class", "")) or _ASIDE.search(found.get("id", "")))
-    return bool(_NAMES.search(found.get("class", "")) or _NAMES.search(found.get("id", "")))
+    named = (found.get("class", ""), found.get("id", ""))
+    return any(_NAMES.search(x) for x in named) or (not content and any(_FRAME.search(x) for x in named))
 
 
 def parse(html: str) -> _Element:
