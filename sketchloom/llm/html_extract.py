@@ -54,6 +54,7 @@ _NAMES = re.compile(
 )
 #: Names that mean the page's frame outside an article, and the article's own parts inside one.
 _FRAME = re.compile(r"(?:^|[\s])(?:header|heading|masthead|top|bottom|logo|brand|legal|tags|meta)(?:$|[\s])", re.I)
+_HOLDS = ("has-", "has_", "with-", "with_", "no-", "no_", "is-", "not-", "without-")
 _ASIDE = re.compile(r"(?:^|\s)(?:comment|comment-\d+|comment-body|reply|ad|advert|promo|sponsored|related|teaser)(?:$|\s)", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:-->|\Z)|!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|(?P<other>[!?][^>]*)(?:>|\Z)|(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<attributes>(?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z))""", re.S)
@@ -62,10 +63,13 @@ _WHITE = re.compile(r"\s+")
 
 
 class _Element:
-    __slots__ = ("children", "content", "name", "skip")
+    __slots__ = ("children", "content", "name", "own", "skip")
 
-    def __init__(self, name: str, skip: bool, content: bool):
-        self.name, self.skip, self.content, self.children = name, skip, content, []
+    def __init__(self, name: str, own: bool, parent: _Element | None):
+        self.name, self.children = name, []
+        self.own = own  # unwanted by itself
+        self.skip = own or (parent is not None and parent.skip)
+        self.content = name in ("article", "main") or (parent is not None and parent.content)
 
 
 def _unwanted(name: str, attributes: str, content: bool) -> bool:
@@ -81,13 +85,14 @@ def _unwanted(name: str, attributes: str, content: bool) -> bool:
         return False
     if name == "article":  # its class may tell of the page's layout; only what it is itself counts
         return bool(_ASIDE.search(found.get("class", "")) or _ASIDE.search(found.get("id", "")))
-    named = (found.get("class", ""), found.get("id", ""))
+    # has-sidebar and the like tell of what an element holds, not of what it is
+    named = [t for t in f"{found.get('class', '')} {found.get('id', '')}".split() if not t.lower().startswith(_HOLDS)]
     return any(_NAMES.search(x) for x in named) or (not content and any(_FRAME.search(x) for x in named))
 
 
 def parse(html: str) -> _Element:
     """The element tree; text is str among the children."""
-    root = _Element("", False, False)
+    root = _Element("", False, None)
     stack = [root]
 
     def close(names, barrier=()) -> None:
@@ -126,7 +131,7 @@ def parse(html: str) -> _Element:
         name = name.lower()
         if m["end"]:
             if name == "p" and not any(e.name == "p" for e in stack):
-                stack[-1].children.append(_Element("p", False, False))
+                stack[-1].children.append(_Element("p", False, stack[-1]))
             close({name}, () if name in _BLOCK else _CLOSES_P | {"td", "th", "table", "body"})
             continue
         if name in _CLOSES_P:
@@ -138,7 +143,7 @@ def parse(html: str) -> _Element:
         if name == "body" or (name in _BLOCK and name != "html"):
             close({"head"})
         parent = stack[-1]
-        e = _Element(name, parent.skip or _unwanted(name, m["attributes"], parent.content), parent.content or name in ("article", "main"))
+        e = _Element(name, _unwanted(name, m["attributes"], parent.content), parent)
         parent.children.append(e)
         if name not in _VOID and not m["attributes"].rstrip().endswith("/") | (name in _VOID):
             stack.append(e)
@@ -167,6 +172,30 @@ def _hash(e: _Element, out: dict) -> int:
     return out[id(e)]
 
 
+def _elements(root: _Element, into=lambda _: True):
+    """All elements, in page order; below those that ``into`` refuses, none."""
+    todo = [root]
+    while todo:
+        x = todo.pop()
+        yield x
+        if into(x):
+            todo += [c for c in reversed(x.children) if not isinstance(c, str)]
+
+
+_NEVER = frozenset("nav aside footer header script style noscript template head dialog".split())
+
+
+def _rescue(root: _Element) -> bool:
+    """Take an article back that only a form or a name around it had thrown out, on a page without another."""
+    found = False
+    for x in _elements(root, lambda e: e.name not in _NEVER):
+        if x.name in ("article", "main") and not x.own:
+            found = True
+            for e in _elements(x, lambda e: not e.own):
+                e.skip = e.own
+    return found
+
+
 def _inline(text: str) -> str:
     return _WHITE.sub(" ", unescape(text)).strip()
 
@@ -176,13 +205,7 @@ def blocks_of(html: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]
     root = parse(html or "")
     hashes: dict[int, int] = {}
     _hash(root, hashes)
-    has_article, todo = False, [root]
-    while todo:
-        x = todo.pop()
-        if x.name in ("article", "main") and not x.skip:
-            has_article = True
-            break
-        todo += [c for c in x.children if not isinstance(c, str)]
+    has_article = any(x.name in ("article", "main") and not x.skip for x in _elements(root)) or _rescue(root)
     blocks: list[tuple[str, list[int]]] = []
     removable: list[int] = []
     words: list[str] = []

@@ -74,6 +74,8 @@ CASES = {
     "<p>a<p>b<div>c<ul><li>d<li>e</ul>": ["a", "b", "c", "d", "e"],
     '<script>if (a<b) "</p>"</script><p>a < b &lt;3 &#x41;</p><!-- <p>no</p> --><style>p{}</style>': ["a < b <3 A"],
     "<article><h1>T</h1><p><b>x y.<br><p>z</p></article><footer>f": ["T", "x y.", "z"],
+    "<form id='all'><div class='top has-sidebar'><nav>n</nav><article><p>x</p><form>y</form></article></div></form>": ["x"],
+    "<div class='page has-sidebar'><p>x</p></div><aside><article><p>teaser</p></article></aside>": ["x"],
     "just text": ["just text"],
     "<div class='header'>Site</div><div id=topnav>n</div><article><div class='header'><h1>T</h1></div><p>x</p><div class='reader-comments'>no</div></article><div style='display: none'>h</div>": ["T", "x"],
     "<body><div class='wrap'><div id='sidebar'>s</div><div class='content'><h2>A</h2><p>b&nbsp;c &hellip;</p></div></div><div class='notice'>n</div>": ["A", "b c \u2026"],
