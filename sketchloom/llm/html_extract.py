@@ -266,6 +266,9 @@ def _article_blocks(root: _Element) -> list[str]:
         if isinstance(x, str):
             words.append(x)
             continue
+        if not x.content:  # outside: only look for articles below
+            stack += [(c, False) for c in reversed(x.children) if not isinstance(c, str)]
+            continue
         if x.skip or leave:
             if x.name in _BLOCK:
                 flush()
@@ -273,9 +276,6 @@ def _article_blocks(root: _Element) -> list[str]:
         if x.name == "br":
             words.append(" ")
             continue
-        if not x.content:  # outside: only look for articles below
-            stack += [(c, False) for c in reversed(x.children) if not isinstance(c, str)]
-            continue
         if x.name in _BLOCK:
             flush()
             stack.append((x, True))
