@@ -28,8 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, join_checked, unused
+from .common import durable, join_checked, let, lower_ascii, unused, words_of
 from .components import connected_components
+from .decontam import shingle_hashes
 
 BLOCK = 16
 
@@ -114,22 +115,131 @@ def near_duplicates(docs: DataFrame, params: SimHash = SimHash()) -> DataFrame:
     return named.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, params: SimHash = SimHash()) -> DataFrame:
-    """One document of each group of near-duplicates (least id, then least text hash); columns unchanged.
+@dataclass(frozen=True)
+class Near:
+    """Near copies: a five-word similarity (Jaccard) of ``percent`` % or more.
 
-    Groups are those of ``near_duplicates``.  Only ids and hashes are grouped; texts are
-    shuffled only if the rows to drop are too many to broadcast, or for repeated rows.
+    Candidates come from a fingerprint of ``lanes`` x 64 bits, each lane cut into three blocks
+    of 21 bits: two fingerprints that share a whole block are compared, first by one lane,
+    then by all, then by the shingles themselves.
+    """
+
+    lanes: int = 16
+    lane_bits: int = 18
+    share_percent: int = 16
+    shingle: int = 5
+    percent: int = 80
+
+
+_BLOCK_BITS = 21
+_ODD = 0x9E3779B97F4A7C15
+
+
+def wide_fingerprint(text: bytes | None, lanes: int, shingle: int = 3) -> np.ndarray:
+    """``lanes`` fingerprints of 64 bits over independent hashes; the first is ``fingerprint``."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(lanes, np.uint64)
+    parts = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(p, 42) for p in parts], np.uint64)
+    times = np.array([((2 * k + 1) * _ODD) % (1 << 64) | 1 for k in range(lanes)], np.uint64)
+    plus = np.array([(k * k + 1) * _ODD % (1 << 64) for k in range(lanes)], np.uint64)
+    total = np.zeros(64 * lanes, np.int64)
+    for at in range(0, len(hashes), 255):  # a byte counts up to 255
+        own = hashes[at : at + 255]
+        x = (own[:, None] ^ plus) * times
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        x[:, 0] = own
+        bits = np.unpackbits(x.view(np.uint8).reshape(len(own), -1), axis=1, bitorder="little")
+        total += bits.sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)
+
+
+def wide_fingerprints(docs: DataFrame, columns: list[str], near: Near, params: SimHash) -> DataFrame:
+    """``columns``, the fingerprint ``fp`` and its ``lanes`` (the first is ``fp``)."""
+    source = docs.select(*columns, F.col("text").cast("binary").alias("_text"))
+    n, width = near.lanes, params.shingle
+
+    def run(batches):
+        for batch in batches:
+            own = [wide_fingerprint(t.as_py(), n, width) for t in batch.column(len(batch.schema) - 1)]
+            flat = (np.concatenate(own) if own else np.zeros(0, np.uint64)).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * n), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(flat[::n]), lists], [*batch.schema.names[:-1], "fp", "lanes"])
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in source.dtypes[:-1])
+    return source.mapInArrow(run, f"{kinds}, fp bigint, lanes array<bigint>")
+
+
+def near_links(docs: DataFrame, digest: DataFrame, near: Near, params: SimHash) -> DataFrame:
+    """Edges (u, v) between nodes (hashes of all lanes) whose texts are near copies.
+
+    ``digest`` has doc_id, tag, fp, lanes and node.  In a file of more than ``file_rows``
+    fingerprints each is compared with the least one only, so no file emits all its pairs;
+    its closest copies meet again in their other files.
+    """
+    nodes = durable(digest.groupBy("node").agg(F.first("lanes").alias("lanes"), F.first("fp").alias("fp"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tag")).alias("own")))
+    mask = F.lit((1 << _BLOCK_BITS) - 1)
+    cuts = F.flatten(F.transform("lanes", lambda x, k: F.transform(F.array(*(F.lit(_BLOCK_BITS * j) for j in range(3))), lambda b: F.xxhash64(k, b, F.call_function("shiftrightunsigned", x, b).bitwiseAND(mask)))))
+    filed = nodes.select("node", "fp", F.explode(cuts).alias("key"))
+    sizes = filed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "fp")).alias("least")).where("n > 1")
+    shared = durable(filed.join(sizes, "key"))
+    close = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= near.lane_bits
+    small = shared.where(F.col("n") <= params.file_rows).select("key", F.col("node").alias("u"), F.col("fp").alias("fu"))
+    other = small.select("key", F.col("u").alias("v"), F.col("fu").alias("fv"))
+    pairs = small.join(other, (small["key"] == other["key"]) & (F.col("u") < F.col("v")) & close(F.col("fu"), F.col("fv"))).select("u", "v")
+    large = shared.where((F.col("n") > params.file_rows) & (F.col("node") != F.col("least.node")) & close(F.col("fp"), F.col("least.fp")))
+    pairs = durable(pairs.union(large.select(F.col("least.node").alias("u"), F.col("node").alias("v"))).distinct())
+
+    lanes = nodes.select("node", "lanes")
+    both = pairs.join(lanes.select(F.col("node").alias("u"), F.col("lanes").alias("a")), "u").join(lanes.select(F.col("node").alias("v"), F.col("lanes").alias("b")), "v")
+    apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    pairs = durable(both.where(100 * apart <= near.share_percent * 64 * near.lanes).select("u", "v"))
+
+    # the shingles of the few texts that are left
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    owners = durable(nodes.join(asked, "node").select("node", F.col("own.doc_id").alias("own_id"), F.col("own.tag").alias("own_tag")))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("tag"))
+    texts = join_checked(texts, owners, (F.col("tag") == F.col("own_tag")) & F.col("doc_id").eqNullSafe(F.col("own_id")), "inner")
+    whole = lambda w: F.when(F.size(w) < near.shingle, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(shingle_hashes(w, near.shingle))
+    sets = texts.select("node", F.array_distinct(let(words_of(lower_ascii(F.col("text"))), whole)).alias("s"))
+    sets = durable(sets.dropDuplicates(["node"]))
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
+    common = both.select("u", "v", F.size("a").alias("x"), F.size("b").alias("y"), F.size(F.array_intersect("a", "b")).alias("c"))
+    return common.where(100 * F.col("c") >= near.percent * (F.col("x") + F.col("y") - F.col("c"))).select("u", "v")
+
+
+def near_groups(docs: DataFrame, params: SimHash = SimHash(), near: Near = Near()) -> DataFrame:
+    """(doc_id, tag, root) for every row: groups of the contract's links and of near copies together.
+
+    ``tag`` is the text's hash.
     """
     tagged = docs.select("doc_id", "text", F.xxhash64("text").alias("tag"))
-    digest = durable(fingerprints(tagged, ["doc_id", "tag"], params))
-    classes = durable(components(digest, "doc_id", params).select("fp", "component_id"))
+    digest = durable(wide_fingerprints(tagged, ["doc_id", "tag"], near, params).withColumn("node", F.xxhash64("lanes")))
+    by_fp = digest.select("fp", "node").distinct()
+    first = durable(by_fp.groupBy("fp").agg(F.min("node").alias("rep")))
+    same = by_fp.join(first, "fp").where("node != rep").select(F.col("rep").alias("u"), F.col("node").alias("v"))
+    tight = links(first.select("fp"), params)
+    tight = tight.join(first.select(F.col("fp").alias("u"), F.col("rep").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("rep").alias("b")), "v")
+    edges = tight.select(F.col("a").alias("u"), F.col("b").alias("v")).union(same).union(near_links(docs, digest, near, params))
+    roots = durable(connected_components(edges).distinct())
+    named = join_checked(digest.select("doc_id", "tag", "node"), roots, "node", "left")
+    return durable(named.select("doc_id", "tag", F.coalesce("root", "node").alias("root")))
+
+
+def keep_one(docs: DataFrame, params: SimHash = SimHash(), near: Near = Near()) -> DataFrame:
+    """One document of each group of ``near_groups`` (least id, then least text hash); columns unchanged.
+
+    Only ids and hashes are grouped; texts are shuffled only if the rows to drop are too
+    many to broadcast, or for repeated rows.
+    """
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tag")
-    keys = digest.groupBy("fp", "doc_id", "tag").agg(F.count("*").alias("n"))
-    keys = durable(join_checked(keys, classes, "fp", "left").withColumn("group", F.coalesce("component_id", "fp")))
-    # groups without any id (component_id is null) stand under their fingerprint
-    keys = keys.withColumn("none", F.col("component_id").isNull())
-    best = keys.groupBy("none", "group").agg(F.min(order).alias("best"))
-    marked = durable(keys.join(best, ["none", "group"]).select("doc_id", "tag", "n", (order == F.col("best")).alias("chosen")))
+    keys = durable(near_groups(docs, params, near).groupBy("root", "doc_id", "tag").agg(F.count("*").alias("n")))
+    best = keys.groupBy("root").agg(F.min(order).alias("best"))
+    marked = durable(keys.join(best, "root").select("doc_id", "tag", "n", (order == F.col("best")).alias("chosen")))
     a, b = unused(docs, "drop_id"), unused(docs, "drop_tag")
     key_of = lambda d: (F.xxhash64(docs["text"]) == d[b]) & docs["doc_id"].eqNullSafe(d[a])
     gone = marked.where(~F.col("chosen")).select(F.col("doc_id").alias(a), F.col("tag").alias(b))
