@@ -1,9 +1,10 @@
 """Quality rules: per-document rules plus host verdicts with an empirical beta prior.
 
-Every document gets rule figures from built-in functions only.  Failures are summed by
-host (the ``source`` column), each host's failure rate is shrunk towards the mean of all
-hosts by a beta prior fitted with the method of moments, and hosts whose shrunk rate
-exceeds ``max_host_rate`` are condemned: their other documents are rejected too.
+Every document gets rule figures from built-in functions only.  It fails by too few words,
+too many repeated words (the base rules) or too many symbols.  Failures are summed by host
+(the ``source`` column), each host's failure rate is shrunk towards the mean of all hosts by
+a beta prior fitted with the method of moments, and hosts whose shrunk rate exceeds
+``max_host_rate`` are condemned: their other documents are rejected too.
 
 Defined cases: a null or empty text has no words and fails; a null host belongs to no
 host and gets no host verdict; repeated rows each count and each get a row; an empty
@@ -28,6 +29,8 @@ class QualityRules:
     min_words: int = 20
     window: int = 8
     max_repeat_percent: int = 30
+    #: Symbols to words; the method's own rule beside the base rules.
+    max_symbol_percent: int = 10
     #: A host is condemned if its shrunk failure rate exceeds this.
     max_host_rate: float = 0.5
 
@@ -68,7 +71,7 @@ def measures(text: Column, rules: QualityRules = QualityRules()) -> Column:
         lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
         return F.struct(
             F.length(F.translate(t, BLANKS, "")).cast("long").alias("word_chars"),
-            (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            symbols_of(t).alias("n_symbols"),
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             let(words_of(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w, rules.window).alias("r"))).alias("w"),
         )
@@ -77,12 +80,21 @@ def measures(text: Column, rules: QualityRules = QualityRules()) -> Column:
 
 
 def fails(n_words: Column, n_repeat: Column, rules: QualityRules) -> Column:
+    """The base rules."""
     return (n_words < rules.min_words) | (100 * n_repeat > rules.max_repeat_percent * n_words)
 
 
+def symbols_of(text: Column) -> Column:
+    return (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long")
+
+
+def noisy(n_words: Column, n_symbols: Column, rules: QualityRules) -> Column:
+    return 100 * n_symbols > rules.max_symbol_percent * n_words
+
+
 def condemned_hosts(digest: DataFrame, rules: QualityRules) -> DataFrame:
-    """Hosts (host, host_rate) whose shrunk failure rate exceeds the limit."""
-    hosts = digest.where("host is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("f"))
+    """Hosts (host, host_rate) whose shrunk rate of ``failed`` rows exceeds the limit."""
+    hosts = digest.where("host is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("f"))
     rate = F.col("f") / F.col("n")
     prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v")).first()  # one row
     m, v = prior["m"] or 0.0, prior["v"] or 0.0
@@ -99,19 +111,21 @@ def quality_verdicts(docs: DataFrame, rules: QualityRules = QualityRules()) -> D
     """
     m = docs.select("doc_id", F.col("source").alias("host"), measures(F.col("text"), rules).alias("m"))
     digest = m.select("doc_id", "host", F.col("m.w.n").alias("n_words"), "m.word_chars", "m.n_symbols", "m.n_dup_lines", F.col("m.w.r").alias("n_repeat_words"))
-    digest = durable(digest.withColumn("base_failed", fails(F.col("n_words"), F.col("n_repeat_words"), rules)))
+    digest = digest.withColumn("base_failed", fails(F.col("n_words"), F.col("n_repeat_words"), rules))
+    digest = durable(digest.withColumn("failed", F.col("base_failed") | noisy(F.col("n_words"), F.col("n_symbols"), rules)))
     bad = durable(condemned_hosts(digest, rules))
     joined = join_checked(digest, bad, "host", "left")
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & F.col("host_rate").isNull()).alias("kept"),
+        (~F.col("failed") & F.col("host_rate").isNull()).alias("kept"),
     )
 
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """The documents that pass their own rules and whose host is not condemned; columns unchanged."""
-    failed = let(words_of(F.col("text")), lambda w: fails(F.size(w).cast("long"), repeat_words(w, rules.window), rules))
-    digest = durable(docs.select(F.col("source").alias("host"), failed.alias("base_failed")))
+    symbols = symbols_of(F.coalesce("text", F.lit("")))
+    failed = let(words_of(F.col("text")), lambda w: fails(F.size(w).cast("long"), repeat_words(w, rules.window), rules) | noisy(F.size(w), symbols, rules))
+    digest = durable(docs.select(F.col("source").alias("host"), failed.alias("failed")))
     name = unused(docs, "host")
     bad = durable(condemned_hosts(digest, rules).select(F.col("host").alias(name)))
     return join_checked(docs.where(~failed), bad, docs["source"] == bad[name], "left_anti")

@@ -125,9 +125,9 @@ WITH w AS (
          coalesce(lines.n, 0) AS n_dup_lines, coalesce(places.n, 0) AS n_repeat_words
   FROM w LEFT JOIN places USING (r) LEFT JOIN lines USING (r)
 ), failed AS (
-  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM digest
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, 100 * n_symbols > 10 * n_words AS noisy FROM digest
 ), hosts AS (
-  SELECT host, count(*) AS n, count(*) FILTER (WHERE base_failed) AS f FROM failed WHERE host IS NOT NULL GROUP BY host
+  SELECT host, count(*) AS n, count(*) FILTER (WHERE base_failed OR noisy) AS f FROM failed WHERE host IS NOT NULL GROUP BY host
 ), moments AS (
   SELECT avg(f / n) AS m, var_pop(f / n) AS v FROM hosts
 ), prior AS (
@@ -136,7 +136,7 @@ WITH w AS (
   SELECT host FROM hosts, prior WHERE (f + m * k) / (n + k) > 0.5
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND (host IS NULL OR host NOT IN (SELECT host FROM bad)) AS kept
+       NOT base_failed AND NOT noisy AND (host IS NULL OR host NOT IN (SELECT host FROM bad)) AS kept
 FROM failed
 """
 
