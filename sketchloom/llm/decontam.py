@@ -30,6 +30,10 @@ from .common import durable, join_checked, let, unused, words_of
 class Containment:
     shingle: int = 5
     percent: int = 80
+    #: Up to so many sketch hashes the index is part of the plan.
+    inline_hashes: int = 4000
+    #: Items of more characters in their shingles than this are not broadcast.
+    broadcast_chars: int = 20_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -69,23 +73,49 @@ def sketch_items(items: DataFrame, params: Containment) -> DataFrame:
     return parts.select("*", n.alias("n"), F.slice(F.sort_array(F.array_distinct(by_width)), F.lit(1), m).alias("sketch"))
 
 
+def _fetch_in_scan(base: DataFrame, index: DataFrame, hashes) -> DataFrame:
+    """(doc_id, doc_tag, t, item_key) of documents and candidates, where the texts are.
+
+    The index is a constant of the plan: a document's hashes are intersected with the filed
+    ones, and what is found is looked up.  No row of a document without candidates goes on.
+    """
+    filed: dict[int, list[int]] = {}
+    for r in index.collect():  # at most params.inline_hashes rows
+        filed.setdefault(r["h"], []).append(r["item_key"])
+    # as SQL text, which is one step for the planner however many there are
+    array = lambda values: f"array({', '.join(f'{v}L' for v in values)})"
+    known, items = F.expr(array(filed)), F.expr(f"map({', '.join(f'{h}L, {array(keys)}' for h, keys in filed.items())})")
+    found = lambda every: F.array_distinct(F.flatten(F.transform(F.array_intersect(every, known), lambda h: F.element_at(items, h))))
+    hits = base.select("*", let(tokens(F.col("t")), lambda w: let(hashes(w), found)).alias("keys")).where(F.size("keys") > 0)
+    return hits.select("doc_id", "doc_tag", "t", F.explode_outer("keys").alias("item_key"))
+
+
+def _fetch_by_join(base: DataFrame, index: DataFrame, hashes) -> DataFrame:
+    """The same for any number of sketches: hashes join the index, candidates join the texts."""
+    probes = base.select("doc_id", "doc_tag", F.explode(let(tokens(F.col("t")), hashes)).alias("h"))
+    candidates = durable(join_checked(probes, index, "h", "inner").select("doc_id", "doc_tag", "item_key").distinct())
+    c = candidates.select(F.col("doc_id").alias("c_id"), F.col("doc_tag").alias("c_tag"), "item_key")
+    pairs = join_checked(base, c, (F.col("doc_tag") == F.col("c_tag")) & F.col("doc_id").eqNullSafe(F.col("c_id")), "inner")
+    return pairs.select("doc_id", "doc_tag", "t", "item_key")
+
+
 def contained_items(docs: DataFrame, items: DataFrame, params: Containment = Containment()) -> DataFrame:
     """Links (doc_id, doc_tag, item_id, n_shingles, n_found, containment), one for each document and item.
 
-    Documents are scanned twice, for their hashes and, those with candidates, for the
-    verification; what is shuffled is candidates only while the sketches are few enough to
-    broadcast (counted).  ``doc_tag`` is the text's hash and tells rows of one id apart.
+    Up to ``inline_hashes`` sketch hashes documents are scanned once and only links are
+    shuffled.  Larger item sets are joined: documents are scanned for their hashes and,
+    those with candidates, for the verification.  ``doc_tag`` is the text's hash and tells
+    rows of one id apart.
     """
     sketched = durable(sketch_items(items, params))
     widths = [r["width"] for r in sketched.select("width").distinct().collect()]  # at most params.shingle
-    index = sketched.select("item_key", F.explode("sketch").alias("h"))
+    index = sketched.select("item_key", F.explode("sketch").alias("h")).distinct()
     base = docs.select("doc_id", F.col("text").alias("t"), F.xxhash64("text").alias("doc_tag"))
     hashes = lambda w: F.flatten(F.array(*(shingle_hashes(w, k) for k in widths))) if widths else F.array().cast("array<bigint>")
-    probes = base.select("doc_id", "doc_tag", F.explode(let(tokens(F.col("t")), hashes)).alias("h"))
-    candidates = durable(join_checked(probes, index, "h", "inner").select("doc_id", "doc_tag", "item_key").distinct())
-    c = candidates.select(F.col("doc_id").alias("c_id"), F.col("doc_tag").alias("c_tag"), "item_key")
-    c = c.join(sketched.select("item_key", "item_id", "width", "parts", "n").dropDuplicates(["item_key"]), "item_key")
-    pairs = join_checked(base, c, (F.col("doc_tag") == F.col("c_tag")) & F.col("doc_id").eqNullSafe(F.col("c_id")), "inner")
+    fetch = _fetch_in_scan if 0 < index.count() <= params.inline_hashes else _fetch_by_join
+    whole = sketched.select("item_key", "item_id", "width", "parts", "n").dropDuplicates(["item_key"])
+    small = (whole.agg(F.sum(F.length(F.array_join("parts", " ")))).first()[0] or 0) <= params.broadcast_chars
+    pairs = fetch(base, index, hashes).join(F.broadcast(whole) if small else whole, "item_key")
     found = let(tokens(F.col("t")), lambda w: F.size(F.array_intersect(F.col("parts"), shingles(w, F.col("width")))))
     found = pairs.select("doc_id", "doc_tag", "item_id", F.col("n").cast("long").alias("n_shingles"), found.cast("long").alias("n_found"))
     return found.where(100 * F.col("n_found") >= params.percent * F.col("n_shingles")).withColumn("containment", F.col("n_found") / F.col("n_shingles")).distinct()

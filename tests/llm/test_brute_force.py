@@ -325,7 +325,8 @@ def test_unigram_models_take_the_best_path():
 # --- decontamination ----------------------------------------------------------------------
 
 
-def test_contained_items(spark):
+@pytest.mark.parametrize("inline_hashes", [0, 4000])
+def test_contained_items(spark, inline_hashes):
     r = random.Random(8)
     pool = [f"v{k}" for k in range(400)]
     items = [(k, " ".join(r.choice(pool) for _ in range(r.choice([1, 3, 5, 6, 12, 40, 90])))) for k in range(40)]
@@ -348,7 +349,8 @@ def test_contained_items(spark):
             found = len(own & shingles(t.split(), n))
             if 100 * found >= 80 * len(own):
                 want.add((d, k, len(own), found))
-    got = decontam.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    params = decontam.Containment(inline_hashes=inline_hashes)
+    got = decontam.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), params)
     assert {(r["doc_id"], r["item_id"], r["n_shingles"], r["n_found"]) for r in got.collect()} == want and len(want) > 40
 
 
@@ -385,6 +387,17 @@ def test_bad_hosts_take_their_documents_along(spark):
     assert {r["doc_id"] for r in quality.keep_good(df).collect()} == kept
 
 
+def test_noisy_documents_go(spark):
+    words = [f"w{k}" for k in range(30)]
+    texts = [" ".join(words), " ".join([*words[:27], "a#", "b*", "<c"]), " ".join([*words[:26], "a#", "b*", "<c", "d|"]), "#" * 50, None]
+    df = spark.createDataFrame([(k, t, "h" if k < 3 else f"h{k}") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    rows = {r["doc_id"]: r for r in quality.quality_verdicts(df, quality.QualityRules(max_host_rate=1.0)).collect()}
+    assert [rows[k]["n_symbols"] for k in range(5)] == [0, 3, 4, 50, 0]
+    assert [rows[k]["kept"] for k in range(5)] == [True, True, False, False, False]
+    assert not rows[2]["base_failed"]
+    assert {r["doc_id"] for r in quality.keep_good(df, quality.QualityRules(max_host_rate=1.0)).collect()} == {0, 1}
+
+
 # --- near copies in the pipeline ----------------------------------------------------------
 
 
