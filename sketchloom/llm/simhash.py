@@ -20,6 +20,7 @@ a row; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -120,8 +121,8 @@ class Near:
     """Near copies: a five-word similarity (Jaccard) of ``percent`` % or more.
 
     Candidates come from a fingerprint of ``lanes`` x 64 bits, each lane cut into three blocks
-    of 21 bits: two fingerprints that share a whole block are compared, first by one lane,
-    then by all, then by the shingles themselves.
+    of 21 bits.  Fingerprints that share a whole block are filed together and compared with
+    their file's hubs, first by one lane, then by all, then by the shingles themselves.
     """
 
     lanes: int = 16
@@ -129,6 +130,7 @@ class Near:
     share_percent: int = 16
     shingle: int = 5
     percent: int = 80
+    hubs: int = 4
 
 
 _BLOCK_BITS = 21
@@ -177,30 +179,41 @@ def wide_fingerprints(docs: DataFrame, columns: list[str], near: Near, params: S
 def near_links(docs: DataFrame, digest: DataFrame, near: Near, params: SimHash) -> DataFrame:
     """Edges (u, v) between nodes (hashes of all lanes) whose texts are near copies.
 
-    ``digest`` has doc_id, tag, fp, lanes and node.  In a file of more than ``file_rows``
-    fingerprints each is compared with the least one only, so no file emits all its pairs;
-    its closest copies meet again in their other files.
+    ``digest`` has doc_id, tag, fp, lanes and node.  In a file each fingerprint is compared
+    with the file's hubs only, the least by ``hubs`` orders that all files share, so no file
+    emits all its pairs, and a group's files mostly name the same hubs.
     """
     nodes = durable(digest.groupBy("node").agg(F.first("lanes").alias("lanes"), F.first("fp").alias("fp"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tag")).alias("own")))
     mask = F.lit((1 << _BLOCK_BITS) - 1)
     cuts = F.flatten(F.transform("lanes", lambda x, k: F.transform(F.array(*(F.lit(_BLOCK_BITS * j) for j in range(3))), lambda b: F.xxhash64(k, b, F.call_function("shiftrightunsigned", x, b).bitwiseAND(mask)))))
     filed = nodes.select("node", "fp", F.explode(cuts).alias("key"))
-    sizes = filed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "fp")).alias("least")).where("n > 1")
-    shared = durable(filed.join(sizes, "key"))
-    close = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= near.lane_bits
-    small = shared.where(F.col("n") <= params.file_rows).select("key", F.col("node").alias("u"), F.col("fp").alias("fu"))
-    other = small.select("key", F.col("u").alias("v"), F.col("fu").alias("fv"))
-    pairs = small.join(other, (small["key"] == other["key"]) & (F.col("u") < F.col("v")) & close(F.col("fu"), F.col("fv"))).select("u", "v")
-    large = shared.where((F.col("n") > params.file_rows) & (F.col("node") != F.col("least.node")) & close(F.col("fp"), F.col("least.fp")))
-    pairs = durable(pairs.union(large.select(F.col("least.node").alias("u"), F.col("node").alias("v"))).distinct())
-
+    other = lambda salt: F.min(F.struct(F.xxhash64("node", F.lit(salt)).alias("order"), "node", "fp"))
+    hubs = [f"hub{k}" for k in range(near.hubs)]
+    sizes = filed.groupBy("key").agg(F.count("*").alias("n"), *(other(k).alias(h) for k, h in enumerate(hubs))).where("n > 1")
+    shared = durable(filed.join(sizes, "key").select("node", "fp", *hubs))
+    close = lambda h: (F.col("node") != h["node"]) & (F.bit_count(F.col("fp").bitwiseXOR(h["fp"])) <= near.lane_bits)
+    star = lambda h: shared.where(close(F.col(h))).select(F.least("node", f"{h}.node").alias("u"), F.greatest("node", f"{h}.node").alias("v"))
+    found, roots = None, None
+    for at in range(0, near.hubs, 2):
+        pairs = durable(reduce(DataFrame.union, map(star, hubs[at : at + 2])).distinct())
+        if roots is not None:  # only between groups that are still apart
+            for end in "uv":
+                pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+            pairs = pairs.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
+        links_ = durable(_verified(docs, nodes, pairs, near))
+        found = links_ if found is None else found.union(links_)
+        if at + 2 < near.hubs:
+            roots = durable(connected_components(found))
+    return found
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, near: Near) -> DataFrame:
+    """The pairs that are close by all lanes and by the shingles of their texts."""
     lanes = nodes.select("node", "lanes")
     both = pairs.join(lanes.select(F.col("node").alias("u"), F.col("lanes").alias("a")), "u").join(lanes.select(F.col("node").alias("v"), F.col("lanes").alias("b")), "v")
     apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     pairs = durable(both.where(100 * apart <= near.share_percent * 64 * near.lanes).select("u", "v"))
-
-    # the shingles of the few texts that are left
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     owners = durable(nodes.join(asked, "node").select("node", F.col("own.doc_id").alias("own_id"), F.col("own.tag").alias("own_tag")))
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("tag"))
     texts = join_checked(texts, owners, (F.col("tag") == F.col("own_tag")) & F.col("doc_id").eqNullSafe(F.col("own_id")), "inner")
