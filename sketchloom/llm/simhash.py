@@ -20,7 +20,6 @@ a row; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -118,22 +117,24 @@ def near_duplicates(docs: DataFrame, params: SimHash = SimHash()) -> DataFrame:
 
 @dataclass(frozen=True)
 class Near:
-    """Near copies: a five-word similarity (Jaccard) of ``percent`` % or more.
+    """Near copies: a five-word similarity (Jaccard) of ``percent`` % or more of distinct shingles.
 
-    Candidates come from a fingerprint of ``lanes`` x 64 bits, each lane cut into three blocks
-    of 21 bits.  Fingerprints that share a whole block are filed together and compared with
-    their file's hubs, first by one lane, then by all, then by the shingles themselves.
+    Candidates come from prefixes: in any order that all texts share, the first
+    n - ceil(n * percent / 100) + 1 of the n shingles of two near copies have one in common.
     """
 
-    lanes: int = 16
-    lane_bits: int = 18
-    share_percent: int = 16
     shingle: int = 5
     percent: int = 80
-    hubs: int = 4
+    #: Shingles that ``hot_texts`` or more of about ``sample_texts`` texts hold come last in the order.
+    sample_texts: int = 5000
+    hot_texts: int = 5
+    #: At most so many; they only order the shingles, none is left out.
+    hot_shingles: int = 50_000
+    #: Pairs whose 128 MinHash bits differ in more places go unverified: at a similarity of 0.8
+    #: each differs with a chance of 0.1, so more than 40 do once in about 10^11 pairs.
+    apart_bits: int = 40
 
 
-_BLOCK_BITS = 21
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -160,59 +161,98 @@ def wide_fingerprint(text: bytes | None, lanes: int, shingle: int = 3) -> np.nda
     return np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)
 
 
-def wide_fingerprints(docs: DataFrame, columns: list[str], near: Near, params: SimHash) -> DataFrame:
-    """``columns``, the fingerprint ``fp`` and its ``lanes`` (the first is ``fp``)."""
+_TIMES = np.array([((2 * k + 3) * _ODD * _ODD) % (1 << 64) | 1 for k in range(128)], np.uint64)
+_PLUS = np.array([(k * k + 5) * _ODD % (1 << 64) for k in range(128)], np.uint64)
+
+
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    """The hashes of a text's distinct shingles in ascending order; a shorter text is one shingle."""
+    words = (text or b"").lower().split()
+    parts = [b" ".join(words)] if len(words) < width else set(map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False)))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(p, 42) for p in parts], np.uint64))
+
+
+def minhash_bits(own: np.ndarray) -> np.ndarray:
+    """128 bits, each of the least of the set's hashes by another function, as two numbers."""
+    least = np.full(128, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(own), 1024):
+        x = own[at : at + 1024, None] * _TIMES + _PLUS
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        least = np.minimum(least, x.min(axis=0))
+    return np.packbits((least >> np.uint64(32)).astype(np.uint8) & 1, bitorder="little").view(np.int64)
+
+
+def hot_shingles(docs: DataFrame, near: Near) -> np.ndarray:
+    """The hashes of the shingles that most texts of a sample hold, in ascending order."""
+    texts = docs.select(F.xxhash64("text").alias("tag"), F.col("text").cast("binary").alias("text"))
+    some = texts.where(F.pmod("tag", F.lit(max(1, docs.count() // near.sample_texts))) == 0).dropDuplicates(["tag"]).select("text")
+    width = near.shingle
+
+    def run(batches):
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), width).view(np.int64))], ["h"])
+
+    counts = some.mapInArrow(run, "h bigint").groupBy("h").count().where(F.col("count") >= near.hot_texts)
+    found = [r["h"] for r in counts.orderBy(F.desc("count"), "h").limit(near.hot_shingles).collect()]
+    return np.sort(np.array(found, np.int64).view(np.uint64))
+
+
+def digests(docs: DataFrame, columns: list[str], near: Near, params: SimHash) -> DataFrame:
+    """``columns``, the fingerprint ``fp``, and of the set of shingles: its hash ``node``, size ``n``, MinHash bits and prefix."""
     source = docs.select(*columns, F.col("text").cast("binary").alias("_text"))
-    n, width = near.lanes, params.shingle
+    hot, narrow, width, percent = hot_shingles(docs, near), params.shingle, near.shingle, near.percent
 
     def run(batches):
         for batch in batches:
-            own = [wide_fingerprint(t.as_py(), n, width) for t in batch.column(len(batch.schema) - 1)]
-            flat = (np.concatenate(own) if own else np.zeros(0, np.uint64)).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * n), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(flat[::n]), lists], [*batch.schema.names[:-1], "fp", "lanes"])
+            rows = []
+            for t in batch.column(len(batch.schema) - 1):
+                own = shingle_set(t.as_py(), width)
+                late = np.isin(own, hot, assume_unique=True)
+                ordered = np.concatenate([own[~late], own[late]])
+                first = len(own) - -(-len(own) * percent // 100) + 1
+                bits = minhash_bits(own)
+                fp = int(wide_fingerprint(t.as_py(), 1, narrow)[0])
+                rows.append((_signed(fp), _signed(xxhash.xxh64_intdigest(own.tobytes(), 42)), len(own), int(bits[0]), int(bits[1]), ordered[:first].view(np.int64)))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            arrays = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], [*batch.schema.names[:-1], "fp", "node", "n", "s0", "s1", "prefix"])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in source.dtypes[:-1])
-    return source.mapInArrow(run, f"{kinds}, fp bigint, lanes array<bigint>")
+    return source.mapInArrow(run, f"{kinds}, fp bigint, node bigint, n int, s0 bigint, s1 bigint, prefix array<bigint>")
 
 
-def near_links(docs: DataFrame, digest: DataFrame, near: Near, params: SimHash) -> DataFrame:
-    """Edges (u, v) between nodes (hashes of all lanes) whose texts are near copies.
+def near_links(docs: DataFrame, digest: DataFrame, near: Near) -> DataFrame:
+    """Edges (u, v) that connect all nodes (sets of shingles) whose texts are near copies.
 
-    ``digest`` has doc_id, tag, fp, lanes and node.  In a file each fingerprint is compared
-    with the file's hubs only, the least by ``hubs`` orders that all files share, so no file
-    emits all its pairs, and a group's files mostly name the same hubs.
+    ``digest`` has doc_id, tag and what ``digests`` adds.  Nodes that share a shingle of their
+    prefixes are in one file.  First a file's nodes are compared with its least and its
+    greatest node, and what is verified becomes groups.
     """
-    nodes = durable(digest.groupBy("node").agg(F.first("lanes").alias("lanes"), F.first("fp").alias("fp"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tag")).alias("own")))
-    mask = F.lit((1 << _BLOCK_BITS) - 1)
-    cuts = F.flatten(F.transform("lanes", lambda x, k: F.transform(F.array(*(F.lit(_BLOCK_BITS * j) for j in range(3))), lambda b: F.xxhash64(k, b, F.call_function("shiftrightunsigned", x, b).bitwiseAND(mask)))))
-    filed = nodes.select("node", "fp", F.explode(cuts).alias("key"))
-    other = lambda salt: F.min(F.struct(F.xxhash64("node", F.lit(salt)).alias("order"), "node", "fp"))
-    hubs = [f"hub{k}" for k in range(near.hubs)]
-    sizes = filed.groupBy("key").agg(F.count("*").alias("n"), *(other(k).alias(h) for k, h in enumerate(hubs))).where("n > 1")
-    shared = durable(filed.join(sizes, "key").select("node", "fp", *hubs))
-    close = lambda h: (F.col("node") != h["node"]) & (F.bit_count(F.col("fp").bitwiseXOR(h["fp"])) <= near.lane_bits)
-    star = lambda h: shared.where(close(F.col(h))).select(F.least("node", f"{h}.node").alias("u"), F.greatest("node", f"{h}.node").alias("v"))
-    found, roots = None, None
-    for at in range(0, near.hubs, 2):
-        pairs = durable(reduce(DataFrame.union, map(star, hubs[at : at + 2])).distinct())
-        if roots is not None:  # only between groups that are still apart
-            for end in "uv":
-                pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-            pairs = pairs.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
-        links_ = durable(_verified(docs, nodes, pairs, near))
-        found = links_ if found is None else found.union(links_)
-        if at + 2 < near.hubs:
-            roots = durable(connected_components(found))
+    own = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tag")).alias("own")
+    nodes = durable(digest.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "s0", "s1", "prefix")), own))
+    filed = nodes.select("node", F.explode("prefix").alias("key"))
+    sizes = filed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    shared = durable(filed.join(sizes, "key"))
+    marks = durable(nodes.select("node", "n", "s0", "s1"))
+    mark = lambda end: marks.select(*(F.col(c).alias(f"{c}_{end}") for c in marks.columns))
+    stars = shared.select(F.col("lo").alias("u"), F.col("node").alias("v")).union(shared.select("node", "hi")).where("u < v").distinct()
+    stars = stars.join(mark("u"), F.col("u") == F.col("node_u")).join(mark("v"), F.col("v") == F.col("node_v")).where(_close(near))
+    found = durable(_verified(docs, nodes, stars.select("u", "v"), near))
     return found
 
 
+def _close(near: Near):
+    """Whether the sizes and MinHash bits of u and v leave them a chance."""
+    sizes = 100 * F.least("n_u", "n_v") >= near.percent * F.greatest("n_u", "n_v")
+    return sizes & (F.bit_count(F.col("s0_u").bitwiseXOR(F.col("s0_v"))) + F.bit_count(F.col("s1_u").bitwiseXOR(F.col("s1_v"))) <= near.apart_bits)
+
+
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, near: Near) -> DataFrame:
-    """The pairs that are close by all lanes and by the shingles of their texts."""
-    lanes = nodes.select("node", "lanes")
-    both = pairs.join(lanes.select(F.col("node").alias("u"), F.col("lanes").alias("a")), "u").join(lanes.select(F.col("node").alias("v"), F.col("lanes").alias("b")), "v")
-    apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    pairs = durable(both.where(100 * apart <= near.share_percent * 64 * near.lanes).select("u", "v"))
+    """The pairs that are near copies by the shingles of their texts."""
+    pairs = durable(pairs)
     asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     owners = durable(nodes.join(asked, "node").select("node", F.col("own.doc_id").alias("own_id"), F.col("own.tag").alias("own_tag")))
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("tag"))
@@ -231,13 +271,13 @@ def near_groups(docs: DataFrame, params: SimHash = SimHash(), near: Near = Near(
     ``tag`` is the text's hash.
     """
     tagged = docs.select("doc_id", "text", F.xxhash64("text").alias("tag"))
-    digest = durable(wide_fingerprints(tagged, ["doc_id", "tag"], near, params).withColumn("node", F.xxhash64("lanes")))
+    digest = durable(digests(tagged, ["doc_id", "tag"], near, params))
     by_fp = digest.select("fp", "node").distinct()
     first = durable(by_fp.groupBy("fp").agg(F.min("node").alias("rep")))
     same = by_fp.join(first, "fp").where("node != rep").select(F.col("rep").alias("u"), F.col("node").alias("v"))
     tight = links(first.select("fp"), params)
     tight = tight.join(first.select(F.col("fp").alias("u"), F.col("rep").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("rep").alias("b")), "v")
-    edges = tight.select(F.col("a").alias("u"), F.col("b").alias("v")).union(same).union(near_links(docs, digest, near, params))
+    edges = tight.select(F.col("a").alias("u"), F.col("b").alias("v")).union(same).union(near_links(docs, digest, near))
     roots = durable(connected_components(edges).distinct())
     named = join_checked(digest.select("doc_id", "tag", "node"), roots, "node", "left")
     return durable(named.select("doc_id", "tag", F.coalesce("root", "node").alias("root")))

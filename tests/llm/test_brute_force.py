@@ -438,3 +438,39 @@ def test_near_copies_fall_together_and_others_stay(spark, file_rows):
     assert all(root[a] != root[b] for a, b in combinations(range(len(texts)), 2) if groups[a] != groups[b])
     kept = [x["doc_id"] for x in simhash.keep_one(df, params).collect()]
     assert len(kept) == len(set(root.values()))
+
+
+def similar_pairs(texts):
+    """All pairs of a five-word similarity of 0.8 or more, by brute force."""
+    own = [five_words(t) for t in texts]
+    return [(a, b) for a, b in combinations(range(len(texts)), 2) if 10 * len(own[a] & own[b]) >= 8 * len(own[a] | own[b])]
+
+
+def assert_groups_are(spark, texts, pairs):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = {x["doc_id"]: x["root"] for x in simhash.near_groups(df).collect()}
+    missed = [(a, b) for a, b in pairs if root[a] != root[b]]
+    assert not missed, f"{len(missed)} of {len(pairs)}"
+    return root
+
+
+def test_appended_replaced_and_repeated_passages(spark):
+    r = random.Random(21)
+    pool = [f"w{k}" for k in range(5000)]
+    some = lambda n: [r.choice(pool) for _ in range(n)]
+    texts, apart = [], []
+    for k in range(120):
+        words, n = some(300), 300
+        texts.append(" ".join(words))
+        if k % 3 == 0:  # a paragraph appended, similarity 0.80 to 0.85
+            texts.append(" ".join(words + some(52 + k % 20)))
+        elif k % 3 == 1:  # a paragraph replaced, similarity 0.80 to 0.85
+            at, n = r.randrange(200), 22 + k % 6
+            texts.append(" ".join(words[:at] + some(n) + words[at + n :]))
+        else:  # a passage repeated
+            texts.append(" ".join(words + words[40:70] * 20))
+        apart.append(" ".join(words[:200] + some(100)))
+    pairs = similar_pairs(texts)
+    assert len(pairs) == 120
+    root = assert_groups_are(spark, texts + apart, pairs)
+    assert len(set(root.values())) == 240
