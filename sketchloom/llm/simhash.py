@@ -229,7 +229,9 @@ def near_links(docs: DataFrame, digest: DataFrame, near: Near) -> DataFrame:
 
     ``digest`` has doc_id, tag and what ``digests`` adds.  Nodes that share a shingle of their
     prefixes are in one file.  First a file's nodes are compared with its least and its
-    greatest node, and what is verified becomes groups.
+    greatest node, and what is verified becomes groups.  Then all nodes outside its least
+    node's group are compared with every node of another group; pairs within the least node's
+    group, however large, are never made.
     """
     own = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tag")).alias("own")
     nodes = durable(digest.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "s0", "s1", "prefix")), own))
@@ -241,7 +243,17 @@ def near_links(docs: DataFrame, digest: DataFrame, near: Near) -> DataFrame:
     stars = shared.select(F.col("lo").alias("u"), F.col("node").alias("v")).union(shared.select("node", "hi")).where("u < v").distinct()
     stars = stars.join(mark("u"), F.col("u") == F.col("node_u")).join(mark("v"), F.col("v") == F.col("node_v")).where(_close(near))
     found = durable(_verified(docs, nodes, stars.select("u", "v"), near))
-    return found
+    roots = durable(connected_components(found))
+    root_of = lambda c, name: roots.select(F.col("node").alias(c), F.col("root").alias(name))
+    file = shared.join(root_of("node", "root"), "node", "left").join(root_of("lo", "lo_root"), "lo", "left")
+    file = file.select("key", "node", F.coalesce("root", "node").alias("root"), F.coalesce("lo_root", "lo").alias("lo_root")).join(marks, "node")
+    file = durable(file.select("*", (F.col("root") != F.col("lo_root")).alias("other")).drop("lo_root"))
+    mixed = file.where("other").select("key").distinct()
+    end = lambda df, end: df.select("key", *(F.col(c).alias(f"{c}_{end}") for c in ("node", "root", "other", "n", "s0", "s1")))
+    apart = F.expr("root_u != root_v and (not other_v or node_u < node_v)")
+    rest = end(file.where("other"), "u").join(end(file.join(mixed, "key", "left_semi"), "v"), "key").where(apart & _close(near))
+    rest = rest.select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")).distinct()
+    return found.union(_verified(docs, nodes, rest, near))
 
 
 def _close(near: Near):

@@ -474,3 +474,21 @@ def test_appended_replaced_and_repeated_passages(spark):
     assert len(pairs) == 120
     root = assert_groups_are(spark, texts + apart, pairs)
     assert len(set(root.values())) == 240
+
+
+def test_pairs_within_large_mixed_files(spark):
+    """Every shingle is held by hundreds of texts that are no copies of one another."""
+    r = random.Random(22)
+    parts = [" ".join(f"p{k}x{j}" for j in range(12)) for k in range(20)]
+    texts = []
+    for _ in range(150):
+        words = " ".join(parts[k] for k in sorted(r.sample(range(20), 10))).split()
+        texts.append(" ".join(words))
+        texts.append(" ".join(words[:-1] if r.random() < 0.5 else words[:60] + ["new"] + words[60:]))
+    pairs = similar_pairs(texts)
+    assert len(pairs) >= 150
+    roots = list(range(len(texts)))
+    for a, b in pairs:
+        roots = [roots[a] if x == roots[b] else x for x in roots]
+    root = assert_groups_are(spark, texts, pairs)
+    assert len(set(root.values())) == len(set(roots))
