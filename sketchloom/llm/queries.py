@@ -40,7 +40,7 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return spm.encode_documents(docs, with_ids=False, with_text=False)
+    return spm.encode_documents(docs, with_text=False)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

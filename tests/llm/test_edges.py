@@ -137,3 +137,12 @@ def test_quality(docs, none):
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns
     assert quality.keep_good(none).count() == 0
+
+
+def test_op8_returns_the_piece_ids(spark, sf):
+    from sketchloom.llm import queries
+
+    codec = spm.Codec()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = queries.op8_sentencepiece(spark, sf).collect()
+    assert len(rows) == len(texts) and all(codec.decode(r["tokens"]) == texts[r["doc_id"]] and len(r["tokens"]) == r["n_tokens"] for r in rows)
