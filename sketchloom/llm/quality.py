@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, join_checked, let, unused, words_of
+from .common import durable, join_checked, let, stored, unused, words_of
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -122,10 +122,15 @@ def quality_verdicts(docs: DataFrame, rules: QualityRules = QualityRules()) -> D
 
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The documents that pass their own rules and whose host is not condemned; columns unchanged."""
+    """The documents that pass their own rules and whose host is not condemned; columns unchanged.
+
+    Documents are judged once, in one scan that writes them with the verdict to the shared
+    folder; host counts read two columns of that table.
+    """
+    name, flag = unused(docs, "host"), unused(docs, "failed")
     symbols = symbols_of(F.coalesce("text", F.lit("")))
     failed = let(words_of(F.col("text")), lambda w: fails(F.size(w).cast("long"), repeat_words(w, rules.window), rules) | noisy(F.size(w), symbols, rules))
-    digest = durable(docs.select(F.col("source").alias("host"), failed.alias("failed")))
-    name = unused(docs, "host")
-    bad = durable(condemned_hosts(digest, rules).select(F.col("host").alias(name)))
-    return join_checked(docs.where(~failed), bad, docs["source"] == bad[name], "left_anti")
+    judged = stored(docs.withColumn(flag, failed))
+    bad = durable(condemned_hosts(judged.select(F.col("source").alias("host"), F.col(flag).alias("failed")), rules).select(F.col("host").alias(name)))
+    good = judged.where(~F.col(flag)).drop(flag)
+    return join_checked(good, bad, good["source"] == bad[name], "left_anti")
