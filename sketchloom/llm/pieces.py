@@ -17,6 +17,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _TWIST = np.uint64(0xD6E8FEB86659FD93)
+_TOP = 20
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -118,14 +119,22 @@ class PieceIndex:
             own = sorted_lengths == length
             self.by_length.append((self.keys[own], self.ids[own]))
         self.powers = powers(self.longest)
+        # by the top bits of a hash: whether any piece has them; spares most searches
+        self.filed = np.zeros(1 << _TOP, bool)
+        self.filed[hashes >> np.uint64(64 - _TOP)] = True
 
     def lookup(self, hashes: np.ndarray, length: int) -> np.ndarray:
         keys, ids = self.by_length[length]
         if not len(keys):
             return np.full(len(hashes), -1, np.int32)
-        at = np.searchsorted(keys, hashes)
-        at[at == len(keys)] = 0
-        return np.where(keys[at] == hashes, ids[at], np.int32(-1))
+        out = np.full(len(hashes), -1, np.int32)
+        some = np.flatnonzero(self.filed[hashes >> np.uint64(64 - _TOP)])
+        if len(some):
+            asked = hashes[some]
+            at = np.searchsorted(keys, asked)
+            at[at == len(keys)] = 0
+            out[some] = np.where(keys[at] == asked, ids[at], np.int32(-1))
+        return out
 
     def find(self, prefixes: np.ndarray, start: int, end: int) -> np.ndarray:
         n = end - start

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import unused
-from .pieces import BYTE, DEFAULT_MODEL, NORMAL, SPACE, UNKNOWN, Model, PieceIndex, by_length, codes, prefix_hashes
+from .pieces import _TOP, BYTE, DEFAULT_MODEL, NORMAL, SPACE, UNKNOWN, Model, PieceIndex, by_length, codes, prefix_hashes
 
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _STRANGE = -1  # a character outside the vocabulary
@@ -38,12 +38,16 @@ _MIX = np.int64(-7046029254386353131)
 
 
 class Codec:
-    """Encoder and decoder of one model; its cache of words is bounded by ``cache_words``."""
+    """Encoder and decoder of one model.
 
-    def __init__(self, path: str = DEFAULT_MODEL, cache_words: int = 600_000):
+    Words are remembered in two generations of about ``cache_bytes`` each; words that come up
+    again move to the newer one, the older one is forgotten when that is full.
+    """
+
+    def __init__(self, path: str = DEFAULT_MODEL, cache_bytes: int = 24_000_000):
         self.model = m = Model.load(path)
-        self.cache: dict[str, bytes] = {}
-        self.cache_words = cache_words
+        self.cache_bytes = cache_bytes
+        self.release()
         own = [k for k, kind in enumerate(m.kinds) if kind == NORMAL]
         if m.is_bpe:  # numbers: single characters, then merges in their order
             own.sort(key=lambda k: (len(m.pieces[k]) > 1, -m.scores[k], k))
@@ -58,6 +62,12 @@ class Codec:
         if m.is_bpe:
             self._prepare_merges()
 
+    def release(self) -> None:
+        """Forget the words."""
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
+
     def _prepare_merges(self) -> None:
         number = {p: k for k, p in enumerate(self.texts)}
         n = len(self.texts)
@@ -90,10 +100,11 @@ class Codec:
         out = np.full(len(a), -1, np.int32)
         fits = np.flatnonzero(la + lb <= self.index.longest)
         hashes = self.hashes[a[fits]] * self.index.powers[lb[fits]] + self.hashes[b[fits]]
-        keys, ids = self.index.keys, self.index.ids
+        some = np.flatnonzero(self.index.filed[hashes >> np.uint64(64 - _TOP)])
+        keys, ids, hashes = self.index.keys, self.index.ids, hashes[some]
         at = np.searchsorted(keys, hashes)
         at[at == len(keys)] = 0
-        out[fits] = np.where(keys[at] == hashes, ids[at], -1)
+        out[fits[some]] = np.where(keys[at] == hashes, ids[at], -1)
         return out
 
     def _apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -221,19 +232,25 @@ class Codec:
         for t in texts:
             block.append(self.words(t or ""))
             size += len(block[-1])
-            if size > 300_000:
+            if size > 100_000:
                 out += self._encode_block(block)
                 block, size = [], 0
         return out + self._encode_block(block)
 
     def _encode_block(self, block: list[list[str]]) -> list[np.ndarray]:
-        if len(self.cache) > self.cache_words:
-            self.cache.clear()
-        new = {w for words in block for w in words if w not in self.cache}
+        new, cache, older = [], self.cache, self.older
+        for w in set().union(*block).difference(cache):
+            if (ids := older.get(w)) is None:
+                new.append(w)
+            else:
+                cache[w] = ids
+            self.held += 240 + 6 * len(w)  # about: two objects and their place in the table
         if new:
-            self._encode_words(list(new))
-        get = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), np.int32) for words in block]
+            self._encode_words(new)
+        out = [np.frombuffer(b"".join(map(cache.__getitem__, words)), np.int32) for words in block]
+        if self.held > self.cache_bytes:
+            self.older, self.cache, self.held = cache, {}, 0
+        return out
 
     def decode(self, ids) -> str:
         """The text of piece ids."""
@@ -259,22 +276,25 @@ def encode_documents(docs: DataFrame, model: str = DEFAULT_MODEL, with_ids: bool
 
     def run(batches):
         c = codec(model)
-        for whole in batches:
-            for start in range(0, max(1, whole.num_rows), 500):
-                batch = whole.slice(start, 500)
-                texts = batch.column(at).to_pylist()
-                ids = c.encode(texts)
-                more = [
-                    (names["n_tokens"], pa.array([len(x) for x in ids], pa.int64())),
-                    (names["ids_crc32"], pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())),
-                    (names["decodes"], pa.array([c.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)], pa.bool_())),
-                ]
-                if with_ids:
-                    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                    flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                    more.append((names["tokens"], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))))
-                own = [(k, batch.column(docs_columns.index(k))) for k in kept]
-                yield pa.RecordBatch.from_arrays([a for _, a in own + more], [k for k, _ in own + more])
+        try:
+            for whole in batches:
+                for start in range(0, max(1, whole.num_rows), 500):
+                    batch = whole.slice(start, 500)
+                    texts = batch.column(at).to_pylist()
+                    ids = c.encode(texts)
+                    more = [
+                        (names["n_tokens"], pa.array([len(x) for x in ids], pa.int64())),
+                        (names["ids_crc32"], pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())),
+                        (names["decodes"], pa.array([c.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)], pa.bool_())),
+                    ]
+                    if with_ids:
+                        ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+                        more.append((names["tokens"], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))))
+                    own = [(k, batch.column(docs_columns.index(k))) for k in kept]
+                    yield pa.RecordBatch.from_arrays([a for _, a in own + more], [k for k, _ in own + more])
+        finally:
+            c.release()  # the worker lives on
 
     docs_columns = docs.columns
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c in kept) + f", {names['n_tokens']} bigint, {names['ids_crc32']} bigint, {names['decodes']} boolean" + (f", {names['tokens']} array<int>" if with_ids else "")
