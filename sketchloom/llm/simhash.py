@@ -25,10 +25,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, join_checked, let, lower_ascii, unused, words_of
+from .common import durable, join_checked, let, lower_ascii, stored, unused, words_of
 from .components import connected_components
 from .decontam import shingle_hashes
 
@@ -119,50 +119,41 @@ def near_duplicates(docs: DataFrame, params: SimHash = SimHash()) -> DataFrame:
 class Near:
     """Near copies: a five-word similarity (Jaccard) of ``percent`` % or more of distinct shingles.
 
-    Candidates come from prefixes: in any order that all texts share, the first
-    n - ceil(n * percent / 100) + 1 of the n shingles of two near copies have one in common.
+    A text's wide fingerprint is ``blocks`` x ``rows`` MinHash values, cut into blocks that are
+    hashed to 64 bits.  At a similarity of 0.8 a block agrees with a chance of 0.8 ** 5, so two
+    near copies share none of 40 blocks once in 8 million pairs; texts of a similarity of 0.3
+    share one once in ten, whatever the number of texts.
     """
 
     shingle: int = 5
     percent: int = 80
-    #: Shingles that ``hot_texts`` or more of about ``sample_texts`` texts hold come last in the order.
-    sample_texts: int = 5000
-    hot_texts: int = 5
-    #: At most so many; they only order the shingles, none is left out.
-    hot_shingles: int = 50_000
-    #: Pairs whose 128 MinHash bits differ in more places go unverified: at a similarity of 0.8
-    #: each differs with a chance of 0.1, so more than 40 do once in about 10^11 pairs.
-    apart_bits: int = 40
+    blocks: int = 40
+    rows: int = 5
+    #: Pairs whose 192 MinHash bits differ in more places go unverified: at a similarity of 0.8
+    #: each differs with a chance of 0.1, so more than 44 do once in 10 million pairs.
+    apart_bits: int = 44
+    #: Within files the ``sample`` least hashes of both texts are compared first: whole sets up
+    #: to that size, else a sample that must show ``percent`` less ``doubt`` (5 deviations).
+    sample: int = 256
+    doubt: int = 13
 
 
 _ODD = 0x9E3779B97F4A7C15
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
+_BITS = 192
 
 
-def wide_fingerprint(text: bytes | None, lanes: int, shingle: int = 3) -> np.ndarray:
-    """``lanes`` fingerprints of 64 bits over independent hashes; the first is ``fingerprint``."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(lanes, np.uint64)
-    parts = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(p, 42) for p in parts], np.uint64)
-    times = np.array([((2 * k + 1) * _ODD) % (1 << 64) | 1 for k in range(lanes)], np.uint64)
-    plus = np.array([(k * k + 1) * _ODD % (1 << 64) for k in range(lanes)], np.uint64)
-    total = np.zeros(64 * lanes, np.int64)
-    for at in range(0, len(hashes), 255):  # a byte counts up to 255
-        own = hashes[at : at + 255]
-        x = (own[:, None] ^ plus) * times
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(32)
-        x[:, 0] = own
-        bits = np.unpackbits(x.view(np.uint8).reshape(len(own), -1), axis=1, bitorder="little")
-        total += bits.sum(axis=0, dtype=np.uint8)
-    return np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)
+def _factors(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and summands of ``count`` hash functions."""
+    times = np.array([((2 * k + 3) * _ODD * _ODD) % (1 << 64) | 1 for k in range(count)], np.uint64)
+    return times, np.array([(k * k + 5) * _ODD % (1 << 64) for k in range(count)], np.uint64)
 
 
-_TIMES = np.array([((2 * k + 3) * _ODD * _ODD) % (1 << 64) | 1 for k in range(128)], np.uint64)
-_PLUS = np.array([(k * k + 5) * _ODD % (1 << 64) for k in range(128)], np.uint64)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x ^= x >> np.uint64(29)
+    x *= _MIX
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
@@ -173,105 +164,122 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     return np.unique(np.array([digest(p, 42) for p in parts], np.uint64))
 
 
-def minhash_bits(own: np.ndarray) -> np.ndarray:
-    """128 bits, each of the least of the set's hashes by another function, as two numbers."""
-    least = np.full(128, (1 << 64) - 1, np.uint64)
-    for at in range(0, len(own), 1024):
-        x = own[at : at + 1024, None] * _TIMES + _PLUS
+def minhash(own: np.ndarray, times: np.ndarray, plus: np.ndarray) -> np.ndarray:
+    """The least of the set's hashes by each function, in memory bounded for sets of any size."""
+    least = np.full(len(times), (1 << 64) - 1, np.uint64)
+    for at in range(0, len(own), 256):
+        x = own[at : at + 256, None] * times
+        x += plus
         x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x *= _MIX
         least = np.minimum(least, x.min(axis=0))
-    return np.packbits((least >> np.uint64(32)).astype(np.uint8) & 1, bitorder="little").view(np.int64)
+    return least
 
 
-def hot_shingles(docs: DataFrame, near: Near) -> np.ndarray:
-    """The hashes of the shingles that most texts of a sample hold, in ascending order."""
-    texts = docs.select(F.xxhash64("text").alias("tag"), F.col("text").cast("binary").alias("text"))
-    some = texts.where(F.pmod("tag", F.lit(max(1, docs.count() // near.sample_texts))) == 0).dropDuplicates(["tag"]).select("text")
-    width = near.shingle
-
-    def run(batches):
-        for batch in batches:
-            for t in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), width).view(np.int64))], ["h"])
-
-    counts = some.mapInArrow(run, "h bigint").groupBy("h").count().where(F.col("count") >= near.hot_texts)
-    found = [r["h"] for r in counts.orderBy(F.desc("count"), "h").limit(near.hot_shingles).collect()]
-    return np.sort(np.array(found, np.int64).view(np.uint64))
+def blocks_of(least: np.ndarray, near: Near) -> np.ndarray:
+    """One key for each block of ``rows`` values; the block's number is part of it."""
+    parts = least[: near.blocks * near.rows].reshape(near.blocks, near.rows)
+    key = np.arange(near.blocks, dtype=np.uint64)
+    for k in range(near.rows):
+        key = _mixed((key ^ parts[:, k]) * np.uint64(_ODD) + np.uint64(k + 1))
+    return key.view(np.int64)
 
 
 def digests(docs: DataFrame, columns: list[str], near: Near, params: SimHash) -> DataFrame:
-    """``columns``, the fingerprint ``fp``, and of the set of shingles: its hash ``node``, size ``n``, MinHash bits and prefix."""
+    """``columns``, the fingerprint ``fp``, and of the set of shingles: its hash ``node``, size ``n``, MinHash bits ``s0`` to ``s2`` and blocks."""
     source = docs.select(*columns, F.col("text").cast("binary").alias("_text"))
-    hot, narrow, width, percent = hot_shingles(docs, near), params.shingle, near.shingle, near.percent
+    narrow, width = params.shingle, near.shingle
 
     def run(batches):
-        for batch in batches:
-            rows = []
-            for t in batch.column(len(batch.schema) - 1):
-                own = shingle_set(t.as_py(), width)
-                late = np.isin(own, hot, assume_unique=True)
-                ordered = np.concatenate([own[~late], own[late]])
-                first = len(own) - -(-len(own) * percent // 100) + 1
-                bits = minhash_bits(own)
-                fp = int(wide_fingerprint(t.as_py(), 1, narrow)[0])
-                rows.append((_signed(fp), _signed(xxhash.xxh64_intdigest(own.tobytes(), 42)), len(own), int(bits[0]), int(bits[1]), ordered[:first].view(np.int64)))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            arrays = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], [*batch.schema.names[:-1], "fp", "node", "n", "s0", "s1", "prefix"])
+        times, plus = _factors(max(_BITS, near.blocks * near.rows))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        for whole in batches:
+            for start in range(0, max(1, whole.num_rows), 1000):
+                batch = whole.slice(start, 1000)
+                rows = []
+                for t in batch.column(len(batch.schema) - 1):
+                    text = t.as_py()
+                    own = shingle_set(text, width)
+                    least = minhash(own, times, plus)
+                    bits = np.packbits((least[:_BITS] >> np.uint64(32)).astype(np.uint8) & 1, bitorder="little").view(np.int64)
+                    rows.append((_signed(fingerprint(text, narrow)), _signed(xxhash.xxh64_intdigest(own.tobytes(), 42)), len(own), *bits.tolist(), blocks_of(least, near)))
+                arrays = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], [*batch.schema.names[:-1], "fp", "node", "n", "s0", "s1", "s2", "blocks"])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in source.dtypes[:-1])
-    return source.mapInArrow(run, f"{kinds}, fp bigint, node bigint, n int, s0 bigint, s1 bigint, prefix array<bigint>")
+    return source.mapInArrow(run, f"{kinds}, fp bigint, node bigint, n int, s0 bigint, s1 bigint, s2 bigint, blocks array<bigint>")
 
 
 def near_links(docs: DataFrame, digest: DataFrame, near: Near) -> DataFrame:
     """Edges (u, v) that connect all nodes (sets of shingles) whose texts are near copies.
 
-    ``digest`` has doc_id, tag and what ``digests`` adds.  Nodes that share a shingle of their
-    prefixes are in one file.  First a file's nodes are compared with its least and its
-    greatest node, and what is verified becomes groups.  Then all nodes outside its least
-    node's group are compared with every node of another group; pairs within the least node's
-    group, however large, are never made.
+    ``digest`` has doc_id, tag and what ``digests`` adds.  Nodes that share a block are in one
+    file.  First a file's nodes are compared with two of them, its hubs, and what is verified
+    becomes groups.  Then all nodes outside the group of a file's first hub are compared with
+    every node of another group, a pair only in the first block that it shares and inside the
+    join, so that only likely links come out; pairs within the hub's group, however large,
+    are never made.
     """
     own = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tag")).alias("own")
-    nodes = durable(digest.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "s0", "s1", "prefix")), own))
-    filed = nodes.select("node", F.explode("prefix").alias("key"))
-    sizes = filed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    nodes = durable(digest.groupBy("node").agg(*(F.first(c).alias(c) for c in (*_MARKS, "blocks")), own))
+    filed = nodes.select("node", F.posexplode("blocks").alias("block", "key"))
+    rank = F.struct(F.xxhash64("key", "node").alias("h"), "node")  # another hub in every file
+    sizes = filed.groupBy("key").agg(F.min(rank)["node"].alias("hub"), F.max(rank)["node"].alias("hub2")).where("hub != hub2")
     shared = durable(filed.join(sizes, "key"))
-    marks = durable(nodes.select("node", "n", "s0", "s1"))
-    mark = lambda end: marks.select(*(F.col(c).alias(f"{c}_{end}") for c in marks.columns))
-    stars = shared.select(F.col("lo").alias("u"), F.col("node").alias("v")).union(shared.select("node", "hi")).where("u < v").distinct()
+    mark = lambda end: nodes.select(*(F.col(c).alias(f"{c}_{end}") for c in ("node", *_MARKS)))
+    stars = shared.select("node", "hub").union(shared.select("node", "hub2")).where("node != hub").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
     stars = stars.join(mark("u"), F.col("u") == F.col("node_u")).join(mark("v"), F.col("v") == F.col("node_v")).where(_close(near))
-    found = durable(_verified(docs, nodes, stars.select("u", "v"), near))
+    stars = durable(stars.select("u", "v"))
+    sets = _sets(docs, nodes, shared.select("node").distinct(), near)
+    found = durable(_verified(stars, sets, near))
     roots = durable(connected_components(found))
     root_of = lambda c, name: roots.select(F.col("node").alias(c), F.col("root").alias(name))
-    file = shared.join(root_of("node", "root"), "node", "left").join(root_of("lo", "lo_root"), "lo", "left")
-    file = file.select("key", "node", F.coalesce("root", "node").alias("root"), F.coalesce("lo_root", "lo").alias("lo_root")).join(marks, "node")
-    file = durable(file.select("*", (F.col("root") != F.col("lo_root")).alias("other")).drop("lo_root"))
+    file = shared.join(root_of("node", "root"), "node", "left").join(root_of("hub", "hub_root"), "hub", "left")
+    file = file.select("key", "block", "node", F.coalesce("root", "node").alias("root"), F.coalesce("hub_root", "hub").alias("hub_root"))
+    file = durable(file.select("key", "block", "node", "root", (F.col("root") != F.col("hub_root")).alias("other")))
     mixed = file.where("other").select("key").distinct()
-    end = lambda df, end: df.select("key", *(F.col(c).alias(f"{c}_{end}") for c in ("node", "root", "other", "n", "s0", "s1")))
+    low = sets.select("node", F.slice("s", 1, near.sample).alias("low"))
+    file = stored(file.join(mixed, "key", "left_semi").join(nodes.select("node", *_MARKS, "blocks"), "node").join(low, "node"))
+    end = lambda df, end: df.select("key", *(F.col(c).alias(f"{c}_{end}") for c in ("block", "node", "root", "other", *_MARKS, "blocks", "low")))
     apart = F.expr("root_u != root_v and (not other_v or node_u < node_v)")
-    rest = end(file.where("other"), "u").join(end(file.join(mixed, "key", "left_semi"), "v"), "key").where(apart & _close(near))
-    rest = rest.select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")).distinct()
-    return found.union(_verified(docs, nodes, rest, near))
+    first = F.col("block_u") == F.array_position(F.zip_with("blocks_u", "blocks_v", lambda a, b: a == b), True) - 1
+    rest = end(file.where("other"), "u").join(end(file, "v"), "key").where(apart & _close(near) & first & _likely(near))
+    rest = durable(rest.select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")))
+    return found.union(_verified(rest, sets, near))
 
 
-def _close(near: Near):
+_MARKS = ("n", "s0", "s1", "s2")
+
+
+def _close(near: Near) -> Column:
     """Whether the sizes and MinHash bits of u and v leave them a chance."""
     sizes = 100 * F.least("n_u", "n_v") >= near.percent * F.greatest("n_u", "n_v")
-    return sizes & (F.bit_count(F.col("s0_u").bitwiseXOR(F.col("s0_v"))) + F.bit_count(F.col("s1_u").bitwiseXOR(F.col("s1_v"))) <= near.apart_bits)
+    return sizes & (sum((F.bit_count(F.col(f"{c}_u").bitwiseXOR(F.col(f"{c}_v"))) for c in _MARKS[1:]), F.lit(0)) <= near.apart_bits)
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, near: Near) -> DataFrame:
-    """The pairs that are near copies by the shingles of their texts."""
-    pairs = durable(pairs)
-    asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+def _likely(near: Near) -> Column:
+    """Whether the least hashes of u and v show enough in common; exact for small sets."""
+    size = near.sample
+    end = lambda c: F.when(F.col(f"n_{c}") > size, F.element_at(f"low_{c}", -1)).otherwise(F.lit((1 << 63) - 1))
+    seen = lambda c, to: F.size(F.filter(f"low_{c}", lambda x: x <= to))
+    enough = lambda c, all_, percent: 100 * c >= percent * (all_ - c)
+    common = F.size(F.array_intersect("low_u", "low_v"))
+    sampled = let(common, lambda c: let(F.least(end("u"), end("v")), lambda to: enough(c, seen("u", to) + seen("v", to), near.percent - near.doubt)))
+    return F.when(F.greatest("n_u", "n_v") <= size, let(common, lambda c: enough(c, F.col("n_u") + F.col("n_v"), near.percent))).otherwise(sampled)
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, asked: DataFrame, near: Near) -> DataFrame:
+    """(node, s): the shingle hashes of the asked nodes' texts in ascending order."""
     owners = durable(nodes.join(asked, "node").select("node", F.col("own.doc_id").alias("own_id"), F.col("own.tag").alias("own_tag")))
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("tag"))
     texts = join_checked(texts, owners, (F.col("tag") == F.col("own_tag")) & F.col("doc_id").eqNullSafe(F.col("own_id")), "inner")
     whole = lambda w: F.when(F.size(w) < near.shingle, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(shingle_hashes(w, near.shingle))
-    sets = texts.select("node", F.array_distinct(let(words_of(lower_ascii(F.col("text"))), whole)).alias("s"))
-    sets = durable(sets.dropDuplicates(["node"]))
+    sets = texts.select("node", F.array_sort(F.array_distinct(let(words_of(lower_ascii(F.col("text"))), whole))).alias("s"))
+    return stored(sets.dropDuplicates(["node"]))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+    """The pairs that are near copies by the shingles of their texts."""
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
     common = both.select("u", "v", F.size("a").alias("x"), F.size("b").alias("y"), F.size(F.array_intersect("a", "b")).alias("c"))
     return common.where(100 * F.col("c") >= near.percent * (F.col("x") + F.col("y") - F.col("c"))).select("u", "v")

@@ -56,7 +56,29 @@ def test_forward_sums_all_segmentations():
         return out
 
     for word in ("there", "naïve", "qzqж"):
-        assert np.allclose(model.log_words(lattice, [word])[0], np.log(total("▁" + word)), rtol=1e-9)
+        assert np.allclose(model.log_words(lattice, ["▁" + word])[0, :2], np.log(total("▁" + word)), rtol=1e-9)
+
+
+def test_letters_that_none_has_learned_say_nothing():
+    words = {"en": "the cat sat on the mat and the dog ran", "fr": "le chat est sur le tapis et le chien court vite"}
+    counts = {k: Counter(langid.words_of(t)) for k, t in words.items()}
+    scorer = langid.Scorer(langid.fit(counts, {"en": 3, "fr": 1}, langid.LanguageId()))
+    for text in ("ฟ" * 30, "ฟ" * 60, "字" * 100, "ฟ" * 5000, "ж " * 40):  # the prior, whatever the length
+        language, score, gain = scorer.predict([text])[0]
+        assert language == "en" and abs(score - 0.75) < 1e-6 and gain < langid.LanguageId().min_gain
+    for language, text in words.items():
+        for more in ("", "ฟ" * 60, " " + "字" * 1000):
+            found, score, gain = scorer.predict([text + more])[0]
+            assert found == language and 0.9 < score <= 1
+    assert scorer.predict(["le chat " * 20_000])[0][:2] == ("fr", 1.0)
+    tie = langid.Scorer(langid.fit({"b": Counter(["▁x"]), "a": Counter(["▁x"])}, {"b": 2, "a": 2}, langid.LanguageId()))
+    assert tie.predict(["x"])[0][:2] == ("a", 0.5)
+
+
+def test_a_language_that_was_not_learned_is_rejected(spark):
+    rows = [(k, "the cat sat on the mat with the dog", "en") for k in range(20)] + [(90, "ฟ" * 40, None), (91, "ж" * 40, "en"), (92, "the dog sat", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in langid.keep_identified(df.where("doc_id != 91")).collect()} == {*range(20), 92}
 
 
 def test_held_out_accuracy(spark):
@@ -406,9 +428,27 @@ def five_words(text):
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}
 
 
-def test_first_lane_is_the_contract_fingerprint():
-    for text in ["", "one", "one two", "a b c d e f g h", *make_texts(20, 3)]:
-        assert int(simhash.wide_fingerprint(text.encode(), 4)[0]) == plain_fingerprint(text) == simhash.fingerprint(text.encode())
+def test_minhash_is_the_least_of_each_function():
+    times, plus = simhash._factors(8)
+    own = simhash.shingle_set(" ".join(f"w{k}" for k in range(700)).encode(), 5)
+    want = []
+    for t, p in zip(times.tolist(), plus.tolist(), strict=True):
+        every = [(h * t + p) % 2**64 for h in own.tolist()]
+        want.append(min(((x ^ x >> 29) * int(simhash._MIX)) % 2**64 for x in every))
+    assert simhash.minhash(own, times, plus).tolist() == want
+
+
+def test_near_copies_share_a_block():
+    near, r = simhash.Near(), random.Random(12)
+    times, plus = simhash._factors(near.blocks * near.rows)
+    keys = lambda own: set(simhash.blocks_of(simhash.minhash(np.array(sorted(own), np.uint64), times, plus), near).tolist())
+    shared = apart = 0
+    for _ in range(300):
+        both = {r.getrandbits(64) for _ in range(80)}
+        only = [r.getrandbits(64) for _ in range(20)]
+        shared += bool(keys(both | set(only[:10])) & keys(both | set(only[10:])))  # similarity 0.8
+        apart += bool(keys(set(list(both)[:20]) | set(only)) & keys(both))  # 0.2
+    assert shared == 300 and apart < 30
 
 
 @pytest.mark.parametrize("file_rows", [2, 64])
