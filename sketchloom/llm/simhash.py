@@ -311,8 +311,9 @@ def keep_one(docs: DataFrame, params: SimHash = SimHash(), near: Near = Near())
     """
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tag")
     keys = durable(near_groups(docs, params, near).groupBy("root", "doc_id", "tag").agg(F.count("*").alias("n")))
-    best = keys.groupBy("root").agg(F.min(order).alias("best"))
-    marked = durable(keys.join(best, "root").select("doc_id", "tag", "n", (order == F.col("best")).alias("chosen")))
+    best = durable(keys.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("rows")).where("rows > 1").select("root", "best"))
+    chosen = F.col("best").isNull() | order.eqNullSafe(F.col("best"))
+    marked = durable(join_checked(keys, best, "root", "left").select("doc_id", "tag", "n", chosen.alias("chosen")))
     a, b = unused(docs, "drop_id"), unused(docs, "drop_tag")
     key_of = lambda d: (F.xxhash64(docs["text"]) == d[b]) & docs["doc_id"].eqNullSafe(d[a])
     gone = marked.where(~F.col("chosen")).select(F.col("doc_id").alias(a), F.col("tag").alias(b))
