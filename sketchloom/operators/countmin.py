@@ -1,4 +1,4 @@
-"""Count-min as a table of cells (row, bucket, count)."""
+"""Count-min as a table of cells (row, bucket, count) that carries its dimensions."""
 
 from __future__ import annotations
 
@@ -37,10 +37,11 @@ def _hashed(items: DataFrame, width: int, depth: int, *columns: str) -> DataFram
 
 
 def sketch(df: DataFrame, item: str, width: int = 272, depth: int = 5, n: str | None = None) -> DataFrame:
-    """(row_id, bucket, cnt).  Items are summed before they are hashed, so each is hashed once a row."""
+    """(row_id, bucket, cnt, width, depth).  Items are summed before they are hashed, so each is hashed once a row."""
     width, depth = repaired(width, depth)
     sums = df.where(F.col(item).isNotNull()).groupBy(F.col(item).cast("string").alias("item")).agg(F.sum(F.col(n) if n else F.lit(1)).cast("long").alias("n"))
-    return _hashed(sums, width, depth, "n").groupBy("row_id", "bucket").agg(F.sum("n").alias("cnt"))
+    cells = _hashed(sums, width, depth, "n").groupBy("row_id", "bucket").agg(F.sum("n").alias("cnt"))
+    return cells.withColumns({"width": F.lit(width), "depth": F.lit(depth)})
 
 
 def counts(cells: DataFrame, probes: DataFrame, item: str, width: int = 272, depth: int = 5) -> DataFrame:
@@ -52,11 +53,11 @@ def counts(cells: DataFrame, probes: DataFrame, item: str, width: int = 272, dep
 
 
 def merge(*sketches: DataFrame) -> DataFrame:
-    """Cells added up; sketches must have the same dimensions."""
-    shapes = {(r["w"], r["d"]) for s in sketches if "width" in s.columns for r in s.select(F.col("width").alias("w"), F.col("depth").alias("d")).distinct().collect()}
-    if len(shapes) > 1:
+    """Cells added up; raises DimensionMismatch unless all sketches have the same dimensions."""
+    every = reduce(DataFrame.unionByName, sketches)
+    if every.select("width", "depth").distinct().limit(2).count() > 1:
         raise DimensionMismatch("sketches differ in dimensions")
-    return reduce(DataFrame.unionByName, sketches).groupBy("row_id", "bucket").agg(F.sum("cnt").alias("cnt"))
+    return every.groupBy("row_id", "bucket").agg(F.sum("cnt").alias("cnt"), F.first("width").alias("width"), F.first("depth").alias("depth"))
 
 
 def total(cells: DataFrame, width: int = 272) -> DataFrame:

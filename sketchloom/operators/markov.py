@@ -9,10 +9,17 @@ FIRST, LAST = "^", "$"
 
 
 def pairs(tokens: Column, order: int) -> Column:
-    """Array of (current, next): every run of ``order`` tokens and the token after it."""
-    one = lambda i: F.struct(F.slice(tokens, i, F.lit(order)).alias("current"), F.element_at(tokens, i + order).alias("next"))
+    """Array of (current, next): every run of ``order`` tokens and the token after it.
+
+    The array is bound once; an expression in the inner function would be built anew for every place.
+    """
     kind = "array<struct<current:array<string>,next:string>>"
-    return F.when(F.size(tokens) > order, F.transform(F.sequence(F.lit(1), F.size(tokens) - order), one)).otherwise(F.array().cast(kind))
+
+    def of_array(t: Column) -> Column:
+        one = lambda i: F.struct(F.slice(t, i, F.lit(order)).alias("current"), F.element_at(t, i + order).alias("next"))
+        return F.when(F.size(t) > order, F.transform(F.sequence(F.lit(1), F.size(t) - order), one)).otherwise(F.array().cast(kind))
+
+    return F.transform(F.array(tokens), of_array)[0]
 
 
 def padded(tokens: Column, order: int) -> Column:

@@ -78,7 +78,7 @@ def _cells_sql(item: str, source: str, n: str = "1") -> str:
 
 @query(_cells_sql("l_partkey", "lineitem"))
 def cm_2_cells(spark, sf):
-    return countmin.sketch(load(spark, sf, "lineitem"), "l_partkey")
+    return countmin.sketch(load(spark, sf, "lineitem"), "l_partkey").select("row_id", "bucket", "cnt")
 
 
 @query(f"""WITH cells AS ({_cells_sql("user_id", "events")}), probes AS (SELECT DISTINCT user_id::VARCHAR AS item FROM events)
@@ -98,7 +98,7 @@ def cm_4_total(spark, sf):
 def cm_5_merge(spark, sf):
     lines = load(spark, sf, "lineitem")
     parts = [countmin.sketch(lines.where(F.pmod("l_orderkey", F.lit(3)) == k), "l_partkey") for k in range(3)]
-    return countmin.merge(*parts)
+    return countmin.merge(*parts).select("row_id", "bucket", "cnt")
 
 
 @query(f"SELECT event_type, user_id, round(sum(value * exp(-ln(2) / {DAY} * (epoch_us(TIMESTAMP '{NOW}') - epoch_us(ts)) / 1e6)), 4) AS rate FROM events WHERE ts <= TIMESTAMP '{NOW}' GROUP BY ALL")

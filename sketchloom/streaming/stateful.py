@@ -1,7 +1,8 @@
 """Streaming forms: decayed rates and fixed windows as keyed state, and windowed sketches.
 
 Late events: batch sorts by time; a stream folds an event that comes late, within the
-watermark, without decay and without moving the clock.
+watermark, without decay and without moving the clock.  State goes once the watermark
+has passed a window's end, or the time at which a rate has decayed to nothing.
 """
 
 from __future__ import annotations
@@ -19,11 +20,17 @@ def _seconds(times: pd.Series) -> pd.Series:
     return times.astype("datetime64[us]").astype("int64") / 1e6
 
 
+#: Half-lives after which a rate is forgotten: it is 2^-60 of what it was.
+FORGET = 60
+
+
 class _Rate(StatefulProcessor):
     def __init__(self, key: str, kind: str, time: str, half_life: float):
-        self.key, self.time, self.decay = key, time, math.log(2) / (half_life if half_life > 0 else 60.0)
+        self.key, self.time, self.half_life = key, time, half_life if half_life > 0 else 60.0
+        self.decay = math.log(2) / self.half_life
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("rate", "rate double, last double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -36,16 +43,26 @@ class _Rate(StatefulProcessor):
                 rate += 1.0
         if last is not None:
             self.state.update((float(rate), float(last)))
+            self.handle.registerTimer(self._gone(last))
             yield pd.DataFrame({self.key: [key[0]], "rate": [rate], "last": [pd.Timestamp(round(last * 1e6), unit="us")]})
 
+    def _gone(self, last: float) -> int:
+        return math.ceil((last + FORGET * self.half_life) * 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists() and self._gone(self.state.get()[1]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
-def decayed_rates(stream: DataFrame, key: str, time: str, half_life: float) -> DataFrame:
+def decayed_rates(stream: DataFrame, key: str, time: str, half_life: float, watermark: str = "1 hour") -> DataFrame:
     """(key, rate, last) after each batch, for the keys that it touched; the rate is as of ``last``."""
     kind = dict(stream.dtypes)[key]
-    return stream.select(key, time).groupBy(key).transformWithStateInPandas(_Rate(key, kind, time, half_life), f"`{key}` {kind}, rate double, last timestamp", "Update", "None")
+    rows = stream.select(key, time).withWatermark(time, watermark)
+    return rows.groupBy(key).transformWithStateInPandas(_Rate(key, kind, time, half_life), f"`{key}` {kind}, rate double, last timestamp", "Update", "EventTime")
 
 
 class _Window(StatefulProcessor):
@@ -53,6 +70,7 @@ class _Window(StatefulProcessor):
         self.key, self.time, self.tie, self.limit, self.window = key, time, tie, limit, window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("window", "count long, locked boolean, end double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -62,20 +80,30 @@ class _Window(StatefulProcessor):
         for now in _seconds(pdf[self.time]):
             if end is None or now > end:
                 count, locked, end = 0, False, now + self.window
+                self.handle.registerTimer(self._gone(end))
             count += 1
             locked = bool(locked or count > self.limit)
             allowed.append(not locked)
         self.state.update((int(count), bool(locked), float(end)))
         yield pdf.assign(allowed=allowed)
 
+    def _gone(self, end: float) -> int:
+        return math.floor(end * 1000) + 1  # windows end inclusively
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists() and self._gone(self.state.get()[2]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
-def rate_limit(stream: DataFrame, key: str, time: str, tie: str, limit: int, window: float) -> DataFrame:
+def rate_limit(stream: DataFrame, key: str, time: str, tie: str, limit: int, window: float, watermark: str = "1 hour") -> DataFrame:
     """Each event with ``allowed``; windows start at a key's first event and end inclusively."""
     kinds = ", ".join(f"`{c}` {k}" for c, k in stream.dtypes)
-    return stream.groupBy(key).transformWithStateInPandas(_Window(key, time, tie, limit, window), f"{kinds}, allowed boolean", "Append", "None")
+    rows = stream.withWatermark(time, watermark)
+    return rows.groupBy(key).transformWithStateInPandas(_Window(key, time, tie, limit, window), f"{kinds}, allowed boolean", "Append", "EventTime")
 
 
 def windowed_distinct(stream: DataFrame, item: str, time: str, window: str, watermark: str) -> DataFrame:

@@ -65,6 +65,11 @@ def test_entropy(spark, data, shannon, least):
     assert abs(r.metric - 100 * r.normalized) < 1e-9 and 0 <= r.normalized <= 1
 
 
+def test_entropy_of_rows_that_share_a_key(spark):
+    rows = entropy.entropy(spark.createDataFrame([(1, bytearray(b"aa")), (1, bytearray(b"ab")), (1, None)], "id int, d binary"), "id", "d").collect()
+    assert sorted(r.shannon for r in rows) == [0.0, 0.0, 1.0]
+
+
 def test_numbers_and_ids(spark):
     r = table(
         spark, [(12.3456, 12.5, 1.005)], "a double, b double, c double",

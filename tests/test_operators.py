@@ -53,6 +53,9 @@ def test_countmin(spark):
     got = {r["item"]: r["estimate"] for r in countmin.counts(cells, df, "item").collect()}
     assert all(got[k] >= n for k, n in true.items()) and sum(got[k] == n for k, n in true.items()) > 25
     assert countmin.total(cells).first().total == 1000
+    assert countmin.total(countmin.merge(cells, cells)).first().total == 2000
+    with pytest.raises(countmin.DimensionMismatch):
+        countmin.merge(cells, countmin.sketch(df, "item", 100, 5))
     assert countmin.counts(cells, spark.createDataFrame([("never",)], "item string"), "item").first().estimate <= countmin.total(cells).first().error + 5
 
 

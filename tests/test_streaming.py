@@ -43,3 +43,15 @@ def test_windowed_distinct(spark, events, tmp_path):
     out = run(spark, stateful.windowed_distinct(stream(spark, events), "user_id", "ts", "1 day", "1 hour"), "distinct_users", "complete", tmp_path)
     want = {r["d"]: r["n"] for r in spark.read.parquet(events).groupBy(F.to_date("ts").alias("d")).agg(F.countDistinct("user_id").alias("n")).collect()}
     assert {r["window"].start.date(): r["estimate"] for r in out.collect()} == want
+
+
+def test_state_expires_behind_the_watermark(spark, tmp_path):
+    source, rows = str(tmp_path / "in"), "event_id long, user_id long, ts timestamp"
+    for day in (1, 9, 17):
+        spark.createDataFrame([(day, day, f"2024-01-{day:02}")], "event_id long, user_id long, ts string").selectExpr("event_id", "user_id", "cast(ts as timestamp) ts").coalesce(1).write.mode("append").parquet(source)
+    df = spark.readStream.schema(rows).option("maxFilesPerTrigger", 1).parquet(source)
+    q = stateful.rate_limit(df, "user_id", "ts", "event_id", 3, 86400.0).writeStream.format("memory").queryName("expiry").outputMode("append")
+    q = q.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert q.exception() is None and spark.table("expiry").count() == 3
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4  # the last window, its timer and at most one more of each, not three
