@@ -1,16 +1,21 @@
 """HTML main-text extraction with site template removal.
 
-Each page is parsed once into text blocks with the elements they stand in.  Every element
-subtree of the body has a hash of its tags and text; pages' distinct subtree hashes are
-counted by host in Spark, and subtrees that recur on many pages of their host are
-template and go.  Navigation, headers, footers, asides, forms, adverts, notices and reader
-comments go by their tags, roles and class names at once; a subtree inside the page's
-article is content even where other pages of the host carry the same article, and stays.
+Each page is parsed once into text blocks with the elements they stand in.  Every block
+element's subtree has a hash of its tags and text.  Spark counts, by host, the different
+contents that hold a subtree, and subtrees that recur in many contents of their host are
+template: their blocks go, inside an article as well as on pages without one.  A page's
+content is its article (or all its blocks), so that copies of one page count once and are
+no template.
+
+Tags, roles and class names decide beside the counts: what stands outside the article of a
+page that has one, navigation, headers, footers, asides, forms, adverts, notices and reader
+comments go at once, however rare they are on their host.
 
 Defined cases: null or empty html gives the empty text; a null url, or one without ``://``,
-belongs to the empty host; repeated rows each count as a page and each get a row; malformed
-markup is closed as browsers close it; an empty table gives an empty result; extra columns
-are ignored.
+belongs to the empty host; repeated rows count as one content and each get a row; malformed
+markup is closed as browsers close it; where template would take more than half of an
+article, or all of another page, the page keeps its blocks; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +34,14 @@ from .common import durable, join_checked, lower_ascii, stored
 
 @dataclass(frozen=True)
 class TemplateRule:
-    """A subtree is template if at least ``min_pages`` pages of its host, and ``min_percent`` % of them, hold it."""
+    """A subtree is template if at least ``min_pages`` different contents of its host, and ``min_percent`` % of them, hold it."""
 
     min_pages: int = 5
     min_percent: int = 20
+    #: Pages on which it is template whatever their share of the host's, as for a section of a large site.
+    many_pages: int = 100
+    #: An article of which less than this remains keeps all its blocks.
+    keep_percent: int = 50
 
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -200,14 +209,25 @@ def _inline(text: str) -> str:
     return _WHITE.sub(" ", unescape(text)).strip()
 
 
-def blocks_of(html: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
-    """Blocks (text, hashes of the removable subtrees they stand in) and the page's removable subtree hashes."""
+#: Elements whose subtrees are never template: whole pages and articles; and, inside an
+#: article, parts that may well recur in content (a heading, a cell), unless all around them does.
+_WHOLE = frozenset(["", "html", "body", "article", "main"])
+_PARTS = frozenset("h1 h2 h3 h4 h5 h6 hr li dt dd td th tr tbody thead tfoot caption figcaption summary legend".split())
+
+
+def blocks_of(html: str | None) -> tuple[list[tuple[str, list[int]]], list[int], bool, int]:
+    """A page's blocks (text, hashes of the removable subtrees they stand in), its distinct
+    removable subtree hashes, whether it has an article, and the hash of its content.
+
+    On a page with an article (or main) only blocks inside it are returned.  Removable are
+    the block elements below the article or the body but for ``_PARTS``.
+    """
     root = parse(html or "")
     hashes: dict[int, int] = {}
     _hash(root, hashes)
     has_article = any(x.name in ("article", "main") and not x.skip for x in _elements(root)) or _rescue(root)
+    frame = _WHOLE | _PARTS if has_article else _WHOLE
     blocks: list[tuple[str, list[int]]] = []
-    removable: list[int] = []
     words: list[str] = []
     inside: list[int] = []
 
@@ -222,56 +242,14 @@ def blocks_of(html: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]
         if isinstance(x, str):
             words.append(x)
             continue
-        if leave:
-            if x.name in _BLOCK:
-                flush()
-            if inside and not x.content and x.name in _BLOCK and x.name not in ("html", "body"):
-                inside.pop()
-            continue
-        if x.skip:
-            if x.name in _BLOCK:
-                flush()
-            continue
-        if x.name == "br":
-            words.append(" ")
-            continue
-        if x.name in _BLOCK:
-            flush()
-            if not x.content and x.name not in ("html", "body"):
-                signed = hashes[id(x)]
-                inside.append(signed - (1 << 64) if signed >> 63 else signed)
-                removable.append(inside[-1])
-        stack.append((x, True))
-        stack += [(c, False) for c in reversed(x.children)]
-    flush()
-    if has_article:
-        blocks = _article_blocks(root)
-        return [(t, []) for t in blocks], removable
-    return blocks, sorted(set(removable))
-
-
-def _article_blocks(root: _Element) -> list[str]:
-    """The blocks inside articles (or main) that are not unwanted, in page order."""
-    out: list[str] = []
-    words: list[str] = []
-
-    def flush() -> None:
-        if text := _inline("".join(words)):
-            out.append(text)
-        words.clear()
-
-    stack = [(root, False)]
-    while stack:
-        x, leave = stack.pop()
-        if isinstance(x, str):
-            words.append(x)
-            continue
-        if not x.content:  # outside: only look for articles below
+        if has_article and not x.content:  # outside: only look for articles below
             stack += [(c, False) for c in reversed(x.children) if not isinstance(c, str)]
             continue
-        if x.skip or leave:
+        if leave or x.skip:
             if x.name in _BLOCK:
                 flush()
+                if leave and x.name not in frame:
+                    inside.pop()
             continue
         if x.name == "br":
             words.append(" ")
@@ -279,16 +257,20 @@ def _article_blocks(root: _Element) -> list[str]:
         if x.name in _BLOCK:
             flush()
             stack.append((x, True))
+            if x.name not in frame:
+                signed = hashes[id(x)]
+                inside.append(signed - (1 << 64) if signed >> 63 else signed)
         stack += [(c, False) for c in reversed(x.children)]
     flush()
-    return out
+    content = xxhash.xxh64_intdigest("\n".join(t for t, _ in blocks).encode("utf-8", "replace"))
+    return blocks, sorted({h for _, own in blocks for h in own}), has_article, content - (1 << 64) if content >> 63 else content
 
 
 def extract(pages: DataFrame, rule: TemplateRule = TemplateRule()) -> DataFrame:
-    """(page_id, url, host, text, n_chars) for every page.
+    """(page_id, url, host, text, n_chars, n_template) for every page; the last counts blocks that went as template.
 
-    Parsed blocks are written once to the shared folder; what is shuffled is subtree
-    hashes and, for pages outside whose article template was found, the joined verdicts.
+    Parsed blocks are written once to the shared folder; what is shuffled is hashes of
+    subtrees and contents and, for the pages that hold template, the verdicts.
     """
     host = lower_ascii(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
     source = pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
@@ -305,20 +287,25 @@ def extract(pages: DataFrame, rule: TemplateRule = TemplateRule()) -> DataFrame:
                 parsed = [blocks_of(x.as_py()) for x in batch.column(3)]
                 uid = pa.array(range(row, row + batch.num_rows), pa.int64())
                 row += batch.num_rows
-                found = pa.array([[{"text": t, "inside": h} for t, h in b] for b, _ in parsed], pa.list_(block))
-                yield pa.RecordBatch.from_arrays([uid, *batch.columns[:3], found, pa.array([r for _, r in parsed], pa.list_(pa.int64()))], ["uid", "page_id", "url", "host", "blocks", "subtrees"])
+                found = pa.array([[{"text": t, "inside": h} for t, h in b] for b, *_ in parsed], pa.list_(block))
+                more = [pa.array([x[k] for x in parsed], kind) for k, kind in ((1, pa.list_(pa.int64())), (2, pa.bool_()), (3, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([uid, *batch.columns[:3], found, *more], ["uid", "page_id", "url", "host", "blocks", "subtrees", "article", "content"])
 
-    schema = f"uid bigint, page_id {kinds['page_id']}, url string, host string, blocks array<struct<text:string,inside:array<bigint>>>, subtrees array<bigint>"
+    schema = f"uid bigint, page_id {kinds['page_id']}, url string, host string, blocks array<struct<text:string,inside:array<bigint>>>, subtrees array<bigint>, article boolean, content bigint"
     parsed = stored(source.mapInArrow(run, schema))
-    size = parsed.groupBy("host").agg(F.count("*").alias("pages"))
-    recurring = parsed.select("host", F.explode("subtrees").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= rule.min_pages)
-    template = durable(join_checked(recurring, size, "host", "inner").where(100 * F.col("n") >= rule.min_percent * F.col("pages")).select("host", "h"))
-    # only blocks outside an article can be template; those pages alone join their host's subtrees
-    open_pages = parsed.where(F.exists("blocks", lambda b: F.size(b["inside"]) > 0))
-    hits = open_pages.select("uid", "host", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["inside"])))).alias("h")).join(template, ["host", "h"])
+    size = parsed.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    held = parsed.select("host", "content", F.explode("subtrees").alias("h")).distinct().groupBy("host", "h").agg(F.count("*").alias("n"))
+    recurring = join_checked(held.where(F.col("n") >= rule.min_pages), durable(size), "host", "inner")
+    enough = (F.col("n") >= rule.many_pages) | (100 * F.col("n") >= rule.min_percent * F.col("pages"))
+    template = durable(recurring.where(enough).select("host", "h"))
+    hits = join_checked(parsed.select("uid", "host", F.explode("subtrees").alias("h")), template, ["host", "h"], "inner")
     gone = hits.groupBy("uid").agg(F.collect_set("h").alias("gone"))  # at most a page's elements
     left = join_checked(parsed, durable(gone), "uid", "left")
     kept = F.filter("blocks", lambda b: F.col("gone").isNull() | ~F.arrays_overlap(b["inside"], F.col("gone")))
-    kept = F.when(F.size(kept) > 0, kept).otherwise(F.col("blocks"))  # a copied page is not template
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
-    return left.select("page_id", "url", "host", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    chars = lambda blocks: F.aggregate(blocks, F.lit(0), lambda n, b: n + F.length(b["text"]))
+    least = F.when(F.col("article"), rule.keep_percent).otherwise(0) * chars("blocks")
+    kept = F.transform(F.array(kept), lambda k: F.when((F.size(k) > 0) & (100 * chars(k) >= least), k).otherwise(F.col("blocks")))[0]
+    text = F.array_join(F.transform("kept", lambda b: b["text"]), " ")
+    out = left.withColumn("kept", F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(kept))
+    out = out.select("page_id", "url", "host", text.alias("text"), (F.size("blocks") - F.size("kept")).cast("long").alias("n_template"))
+    return out.select("page_id", "url", "host", "text", F.length("text").cast("long").alias("n_chars"), "n_template")

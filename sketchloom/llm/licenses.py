@@ -2,9 +2,11 @@
 
 The automaton is built once from all templates.  A file streams through it and yields, at
 each token, the longest suffix that occurs in any template (matching statistics).  Base
-phrases are counted from the automaton's states; maximal matches of ``min_match`` tokens
-or more are chained, in text and template order, into covered template spans, and a
-template of which ``min_cover`` is covered gives its label.
+phrases are counted from the automaton's states; along suffix links each state knows every
+place of every template where its strings end.  Matches of ``min_match`` tokens or more that
+can't be extended are chained, in text and template order, by dynamic programming into the
+span that covers most of a template, and a template of which ``min_cover`` is covered gives
+its label.
 
 Defined cases: a null or empty text has no words and no labels (score 0); repeated rows
 are scanned alike; an empty table gives an empty result; extra columns are ignored; ties
@@ -27,7 +29,7 @@ BASE_PHRASES = (
     ("cc-by-nc", "cc by nc"),
 )
 
-#: Longer templates: (label, pieces of the notice in their order).
+#: Longer templates: (label, pieces of the notice in their order), then whole licence texts.
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge", "to any person obtaining a copy of this software", "to deal in the software without restriction"),
     ("apache-2", "licensed under the apache license version 2 0", "you may not use this file except", "in compliance with the license"),
@@ -42,6 +44,29 @@ TEMPLATES = (
     ("cc-by", "licensed under a creative commons attribution", "4 0 international license"),
     ("mit", "released under the mit license"),
     ("cc-by-nc", "licensed under cc by nc"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so",
+        "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise",
+        "arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+        "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits",
+        "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    ),
 )
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -59,13 +84,15 @@ class Automaton:
     step: list[dict[int, int]] = field(default_factory=lambda: [{}])
     link: list[int] = field(default_factory=lambda: [-1])
     length: list[int] = field(default_factory=lambda: [0])
-    #: By state: template -> the first place where the state's strings end in it.
-    places: list[dict[int, int]] = field(default_factory=lambda: [{}])
+    #: By state: (template, place) of every place where the state's strings end.
+    places: list[set[tuple[int, int]]] = field(default_factory=lambda: [set()])
+    #: By state: (template, place, most tokens that match there), along the suffix links.
+    reach: list[list[tuple[int, int, int]]] = field(default_factory=list)
     #: By state: (phrase, tokens) of all phrases that end with the state's longest string.
     phrases: list[list[tuple[int, int]]] = field(default_factory=lambda: [[]])
 
     def _state(self, length: int, step: dict[int, int], link: int) -> int:
-        for column, value in ((self.step, step), (self.link, link), (self.length, length), (self.places, {}), (self.phrases, [])):
+        for column, value in ((self.step, step), (self.link, link), (self.length, length), (self.places, set()), (self.phrases, [])):
             column.append(value)
         return len(self.length) - 1
 
@@ -101,8 +128,8 @@ class Automaton:
             for at, t in enumerate(tokens):
                 s = a.step[s][t]
                 up = s
-                while up > 0 and k not in a.places[up]:
-                    a.places[up][k] = at + 1
+                while up > 0:
+                    a.places[up].add((k, at + 1))
                     up = a.link[up]
         for k, tokens in enumerate(phrases):
             s = 0
@@ -111,6 +138,14 @@ class Automaton:
             a.phrases[s].append((k, len(tokens)))
         for s in sorted(range(1, len(a.length)), key=a.length.__getitem__):
             a.phrases[s] = a.phrases[s] + a.phrases[a.link[s]]
+        for s in range(len(a.length)):
+            found: dict[tuple[int, int], int] = {}
+            up = s
+            while up > 0:
+                for place in a.places[up]:
+                    found.setdefault(place, a.length[up])
+                up = a.link[up]
+            a.reach.append([(k, at, n) for (k, at), n in sorted(found.items())])
         return a
 
     def statistics(self, tokens):
@@ -149,50 +184,63 @@ class Scanner:
         self.automaton = Automaton.of(templates, phrases)
 
     def scan(self, text: bytes | None):
-        """(n_words, places of base phrases, base labels, labels, score, spans (template, first, end))."""
+        """(n_words, places of base phrases, base labels, labels, score, spans (template, first, end, cover))."""
         words = words_of(text)
         lookup = self.vocabulary.get
         ids = np.fromiter((lookup(w, -1) for w in words), np.int32, len(words))
         edges = np.flatnonzero(np.diff(np.concatenate(([0], ids >= 0, [0])).astype(np.int8)))
-        places, base, matches = [], set(), []
+        places, base, matches = [], set(), {}
         for first, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
             if end - first >= self.shortest:
                 self._run(ids[first:end].tolist(), first, places, base, matches)
         cover, spans = self._chain(matches)
         labels = base | {self.params.templates[k][0] for k, c in cover.items() if c >= self.params.min_cover}
         score = 1.0 if base else max(cover.values(), default=0.0)
-        return len(words), places, sorted(base), sorted(labels), score, spans
+        return len(words), places, sorted(base), sorted(labels), score, [(k, a, b, cover[k]) for k, a, b in spans]
 
     def _run(self, tokens, first, places, base, matches) -> None:
         a, least = self.automaton, self.params.min_match
-        before, held = 0, 0
-        for at, (s, n) in enumerate(a.statistics(tokens)):
-            if n <= before and before >= least:
-                matches.append((first + at, before, held))
+        open_: dict[tuple[int, int], int] = {}
+        for at, (s, n) in enumerate(a.statistics(tokens), first):
             for k, size in a.phrases[s]:
                 if size <= n:
-                    places.append(first + at + 1 - size)
+                    places.append(at + 1 - size)
                     base.add(self.params.phrases[k][0])
-            before, held = n, s
-        if before >= least:
-            matches.append((first + len(tokens), before, held))
+            now = {(k, end): min(n, most) for k, end, most in a.reach[s] if most >= least} if n >= least else {}
+            for (k, end), size in open_.items():
+                if (k, end + 1) not in now:
+                    matches.setdefault(k, []).append((at, end, size))
+            open_ = now
+        for (k, end), size in open_.items():
+            matches.setdefault(k, []).append((first + len(tokens), end, size))
 
     def _chain(self, matches):
-        """By template: the largest share that one chain covers; and the spans of each best chain."""
-        best: dict[int, tuple[int, int, int]] = {}
-        chains: dict[int, list[int]] = {}  # covered, end in template, end in text, start in text
-        for end, n, s in matches:
-            for k, at in self.automaton.places[s].items():
-                c = chains.get(k)
-                if c and at > c[1] and end - n - c[2] <= self.params.max_gap:
-                    new = min(n, at - c[1])
-                    c[0], c[1], c[2] = c[0] + new, at, end
-                else:
-                    c = chains[k] = [n, at, end, end - n]
-                if k not in best or c[0] > best[k][0]:
-                    best[k] = (c[0], c[3], c[2])
-        cover = {k: min(1.0, b[0] / self.sizes[k]) for k, b in best.items()}
-        return cover, [(k, b[1], b[2]) for k, b in sorted(best.items())]
+        """By template: the largest share that a chain of its matches covers; and the spans of the best chains.
+
+        ``matches`` has (end in the text, end in the template, tokens) by template.  Matches
+        of a chain rise in both, at most ``max_gap`` words apart; where two overlap, only what
+        the later adds counts.
+        """
+        cover, spans = {}, []
+        for k, found in sorted(matches.items()):
+            found.sort()
+            chains: list[tuple[int, int]] = []  # covered, start in the text
+            low = 0
+            longest = max(n for _, _, n in found)
+            for end, at, n in found:
+                while found[low][0] < end - longest - self.params.max_gap:
+                    low += 1
+                best = (n, n - end)
+                for j in range(low, len(chains)):
+                    before, at_before, _ = found[j]
+                    new = min(n, at - at_before, end - before)
+                    if new > 0 and end - n - before <= self.params.max_gap:
+                        best = max(best, (chains[j][0] + new, -chains[j][1]))
+                chains.append((best[0], -best[1]))
+            most = max(range(len(found)), key=lambda j: (chains[j][0], -found[j][0]))
+            cover[k] = chains[most][0] / self.sizes[k]
+            spans.append((k, chains[most][1], found[most][0]))
+        return cover, spans
 
 
 def scan_licenses(docs: DataFrame, params: Scan = Scan()) -> DataFrame:
@@ -210,7 +258,7 @@ def scan_licenses(docs: DataFrame, params: Scan = Scan()) -> DataFrame:
             rows = []
             for t in batch.column(1):
                 n, places, base, labels, score, spans = scanner.scan(t.as_py())
-                found = [{"label": params.templates[k][0], "first_word": a, "end_word": b, "cover": min(1.0, (b - a) / scanner.sizes[k])} for k, a, b in spans]
+                found = [{"label": params.templates[k][0], "first_word": a, "end_word": b, "cover": c} for k, a, b, c in spans]
                 rows.append({
                     "n_words": n, "n_base": len(places), "first_word": min(places, default=None), "last_word": max(places, default=None),
                     "base_labels": ",".join(base), "labels": ",".join(labels), "score": score, "spans": found,

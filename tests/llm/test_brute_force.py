@@ -121,6 +121,44 @@ def test_site_template_goes_and_articles_stay(spark):
     assert found[200] == "About this site and its owner"
 
 
+def plain_extract(rows):
+    """Template removal by plain counts of subtree hashes, from the parsed blocks."""
+    rule, out = html_extract.TemplateRule(), {}
+    parsed = [(k, url.split("/")[2], *html_extract.blocks_of(html)) for k, url, html in rows]
+    for k, host, blocks, _, article, _ in parsed:
+        contents = {c for _, h, *_, c in parsed if h == host}
+        holders = lambda x, host=host: {c for _, h, _, own, _, c in parsed if h == host and x in own}
+        template = lambda x, n=len(contents): len(holders(x)) >= rule.min_pages and (len(holders(x)) >= rule.many_pages or 5 * len(holders(x)) >= n)
+        kept = [t for t, inside in blocks if not any(map(template, inside))]
+        whole = [t for t, _ in blocks]
+        if not kept or (article and 2 * sum(map(len, kept)) < sum(map(len, whole))):
+            kept = whole
+        out[k] = (" ".join(kept), len(whole) - len(kept))
+    return out
+
+
+def test_counts_decide_inside_articles_as_in_a_plain_version(spark):
+    r = random.Random(15)
+    story = lambda: " ".join(r.choice("ab cd efg hij klm nop".split()) for _ in range(25))
+    box = "<section><p>Support our work</p><ul><li>one</li><li>two</li></ul></section>"
+    rows = []
+    for k in range(60):
+        host, inner = f"h{k % 3}.org", f"<h1>Title</h1><div><p>{story()}</p>{box if k % 3 < 2 else ''}</div><p>{story()}</p>"
+        rows.append((k, f"http://{host}/{k}", f"<nav>n</nav><article>{inner}</article>" if k % 2 else f"<body><div>{inner}</div></body>"))
+    rows += [(100 + k, "http://h2.org/copy", "<article><p>one copied page</p></article>") for k in range(30)]
+    rows += [(200 + k, "http://rare.org/", f"<article><p>{story()}</p>{box}</article>") for k in range(4)]
+    got = {x["page_id"]: (x["text"], x["n_template"]) for x in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == plain_extract(rows)
+    assert all("Support" not in got[k][0] and "Title" in got[k][0] for k in range(60) if k % 2 and k % 3 < 2)
+    assert all("Support" in got[200 + k][0] for k in range(4)) and got[100] == ("one copied page", 0)
+
+
+def test_deep_and_long_pages():
+    deep = "<div>" * 3000 + "x" + "</div>" * 3000
+    assert [t for t, _ in html_extract.blocks_of(f"<article>{deep}</article>")[0]] == ["x"]
+    assert sum(len(t) for t, _ in html_extract.blocks_of("<article>" + "<p>some words here</p>" * 30_000 + "</article>")[0]) == 450_000
+
+
 # --- licences -----------------------------------------------------------------------------
 
 
@@ -155,6 +193,55 @@ def test_template_with_a_gap_is_covered():
     assert labels == ["gpl"] and score == 1.0 and spans
 
 
+def plain_cover(text, template, least, gap):
+    """The most tokens of a template that a chain of common runs covers, over all chains."""
+    runs = []
+    for i in range(len(text)):
+        for j in range(len(template)):
+            if text[i] == template[j] and not (i and j and text[i - 1] == template[j - 1]):
+                n = 0
+                while i + n < len(text) and j + n < len(template) and text[i + n] == template[j + n]:
+                    n += 1
+                if n >= least:
+                    runs.append((i + n, j + n, n))
+
+    def after(run, covered):
+        best = covered
+        for e, p, n in runs:
+            new = min(n, p - run[1], e - run[0])
+            if new > 0 and (e, p) > run[:2] and e - n - run[0] <= gap:
+                best = max(best, after((e, p, n), covered + new))
+        return best
+
+    return max((after(r, r[2]) for r in runs), default=0)
+
+
+def test_chains_are_the_best_of_all():
+    r = random.Random(14)
+    for _ in range(150):
+        texts = [[r.choice("abc") for _ in range(10)] for _ in range(2)]
+        params = licenses.Scan(min_match=2, max_gap=3, phrases=(("x", "zz"),), templates=tuple((f"t{k}", " ".join(t)) for k, t in enumerate(texts)))
+        scanner = licenses.Scanner(params)
+        words = [r.choice("abcd") for _ in range(14)]
+        *_, spans = scanner.scan(" ".join(words).encode())
+        got = {k: round(c * 10) for k, _, _, c in spans}
+        for k, template in enumerate(texts):
+            assert got.get(k, 0) == plain_cover(words, template, 2, 3), (words, texts)
+
+
+def test_all_occurrences_count():
+    inner = licenses.Scan(templates=(("a", "one two three four five six seven eight"), ("b", "three four five six seven")))
+    *_, labels, _, _ = licenses.Scanner(inner).scan(b"one two three four five six seven eight")
+    assert labels == ["a", "b"]
+    run = "p q r s t u"
+    twice = licenses.Scan(templates=(("t", f"{run} a b c d {run} e f g h"),))
+    *_, labels, score, _ = licenses.Scanner(twice).scan(f"{run} x a b c d y {run} x e f g h".encode())
+    assert labels == ["t"] and score == 1.0
+    mit = " ".join(next(t for t in licenses.TEMPLATES if t[0] == "mit" and len(t) > 5)[1:])
+    *_, labels, score, _ = licenses.Scanner().scan(f"Copyright (c) 2024 Somebody. {mit}".encode())
+    assert labels == ["mit"] and score == 1.0
+
+
 # --- sharding -----------------------------------------------------------------------------
 
 
