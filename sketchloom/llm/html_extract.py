@@ -210,9 +210,10 @@ def _inline(text: str) -> str:
 
 
 #: Elements whose subtrees are never template: whole pages and articles; and, inside an
-#: article, parts that may well recur in content (a heading, a cell), unless all around them does.
+#: article, parts that may well recur in content (a paragraph, a heading, a cell): a quoted
+#: passage is no template, a box around it is.
 _WHOLE = frozenset(["", "html", "body", "article", "main"])
-_PARTS = frozenset("h1 h2 h3 h4 h5 h6 hr li dt dd td th tr tbody thead tfoot caption figcaption summary legend".split())
+_PARTS = frozenset("p blockquote pre center h1 h2 h3 h4 h5 h6 hr li dt dd td th tr tbody thead tfoot caption figcaption summary legend".split())
 
 
 def blocks_of(html: str | None) -> tuple[list[tuple[str, list[int]]], list[int], bool, int]:
