@@ -76,9 +76,9 @@ WITH parts AS (
 )
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-            WHEN regexp_matches(path, '/(porn|xxx|casino|track/pixel|adserver)/') THEN 'block' ELSE 'allow' END AS verdict
+            WHEN regexp_matches(path, '/(WORDS)[/.]') OR regexp_matches(host || path, '^([^/]*[.])?(WORDS)[.][^/]*/') THEN 'block' ELSE 'allow' END AS verdict
 FROM judged
-"""
+""".replace("WORDS", "|".join(urlfilter.BLOCKED_WORDS))
 
 OP9_SQL = r"""
 WITH item_words AS (
@@ -86,7 +86,7 @@ WITH item_words AS (
 ), items AS (
   SELECT row_number() OVER () AS k, item_id, w, least(5, len(w)) AS width FROM item_words WHERE len(w) > 0
 ), item_shingles AS (
-  SELECT DISTINCT k, width, array_to_string(w[i:i + width - 1], ' ') AS s FROM items, range(1, 4000) r(i) WHERE i <= len(w) - width + 1
+  SELECT DISTINCT k, width, array_to_string(w[i:i + width - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - width + 2)) AS i FROM items)
 ), sizes AS (SELECT k, count(*) AS n FROM item_shingles GROUP BY k
 ), doc_rows AS (
   SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL

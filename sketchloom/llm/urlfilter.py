@@ -1,7 +1,7 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
 A rule is a host (it and all subdomains) with a path prefix, or a wildcard pattern over
-``host + path``.  Each rule is filed under the one of its literal tokens that the fewest
+``host + path``; rules are also read from lines of a block list.  Each rule is filed under the one of its literal tokens that the fewest
 URLs hold; a URL's tokens fetch the candidate rules, and only those run their regular
 expression.  The longest rule that fits decides.
 
@@ -28,7 +28,8 @@ _DELIMITERS = r"[\x00-/:-@\[-^`{-\x7f]"
 class UrlRule:
     """``allow`` or ``block`` for a host and its subdomains under a path prefix.
 
-    With ``wildcard`` the path may hold ``*`` (any run) and an empty host fits any host.
+    With ``wildcard`` host and path may hold ``*`` (any run; in a host, within it) and an
+    empty host fits any host.
     """
 
     verdict: str
@@ -43,14 +44,18 @@ class UrlRule:
     @property
     def regex(self) -> str:
         quote = lambda s: re.sub(r"([\x00-.:-@\[-^`{-\x7f])", r"\\\1", s)
-        host = rf"([^/]*\.)?{quote(self.host)}" if self.host else "[^/]*"
+        labels = "[^/]*".join(map(quote, self.host.split("*"))) if self.wildcard else quote(self.host)
+        host = rf"([^/]*\.)?{labels}" if self.host else "[^/]*"
         path = ".*".join(map(quote, self.path.split("*"))) if self.wildcard else quote(self.path)
         return f"(?s)^{host}{path}"
 
     @property
     def tokens(self) -> list[str]:
         """Literal tokens that every URL which fits must hold whole."""
-        found = [t for t in re.split(_DELIMITERS, self.host) if t]
+        found = []
+        for k, run in enumerate(labels := self.host.split("*") if self.wildcard else [self.host]):
+            parts = re.split(_DELIMITERS, run)
+            found += [t for j, t in enumerate(parts) if t and not (k and j == 0) and not (k < len(labels) - 1 and j == len(parts) - 1)]
         for k, run in enumerate(self.path.split("*") if self.wildcard else [self.path]):
             parts = re.split(_DELIMITERS, run)
             # what touches a wildcard or the prefix's open end may be part of a longer token
@@ -67,14 +72,39 @@ BASE_RULES = (
     UrlRule("block", "com", "/de/"),
 )
 
-#: Used where no base rule fits: trackers, adult and gambling paths on any host.
-METHOD_RULES = (
-    UrlRule("block", "", "*/porn/", True),
-    UrlRule("block", "", "*/xxx/", True),
-    UrlRule("block", "", "*/casino/", True),
-    UrlRule("block", "", "*/track/pixel/", True),
-    UrlRule("block", "", "*/adserver/", True),
-)
+#: Words of hosts and paths that training text is not taken from.
+BLOCKED_WORDS = (
+    "porn xxx sex adult nude escort "
+    "casino poker betting slots lottery bingo "
+    "ads adserver adclick banner doubleclick popunder sponsor "
+    "track tracking pixel beacon analytics telemetry "
+    "warez crack keygen torrent phishing"
+).split()
+
+#: Used where no base rule fits: each word as a host's label, as a folder and as a file's name.
+METHOD_RULES = tuple(UrlRule("block", host, path, True) for w in BLOCKED_WORDS for host, path in ((f"{w}.*", "/"), ("", f"*/{w}/"), ("", f"*/{w}.")))
+
+
+def read_rules(lines: list[str]) -> list[UrlRule]:
+    """Rules of a block list: ``||host^`` or ``||host/path``, patterns with ``*``, ``@@`` before exceptions.
+
+    A pattern without ``||`` fits at any place of the path.  Empty lines and those that start
+    with ``!``, ``#`` or ``[`` are remarks; options after ``$`` and element rules (``##``) do not concern pages
+    and raise, so that none is passed over.
+    """
+    rules = []
+    for line in map(str.strip, lines):
+        if not line or line[0] in "!#[":
+            continue
+        if "##" in line or "$" in line:
+            raise ValueError(f"not a rule for pages: {line}")
+        verdict, pattern = ("allow", line[2:]) if line.startswith("@@") else ("block", line)
+        if pattern.startswith("||"):
+            host, slash, path = pattern[2:].rstrip("^").partition("/")
+            rules.append(UrlRule(verdict, host.lower(), slash + path or "/", True))
+        else:
+            rules.append(UrlRule(verdict, "", "*" + pattern.lstrip("*"), True))
+    return rules
 
 
 def host_and_path(url: Column) -> Column:

@@ -278,6 +278,29 @@ def test_inline_and_joined_rules_agree(spark, sf):
 def test_rule_tokens():
     assert urlfilter.UrlRule("block", "example.org", "/en/1").tokens == ["example", "org", "en"]
     assert urlfilter.UrlRule("block", "", "*/ab/cd*ef/gh/*", True).tokens == ["ab", "gh"]
+    assert urlfilter.UrlRule("block", "ab.cd*.ef.gh", "/", True).tokens == ["ab", "ef", "gh"]
+
+
+@pytest.mark.parametrize("inline_rules", [0, 1000])
+def test_block_list_lines(spark, inline_rules):
+    rules = urlfilter.read_rules("! remark\n\n||bad.example^\n||shop.example/cart/*/pay\n@@||bad.example/ok/\n/banner/\n||cdn*.ads.example\npixel.gif\n".split("\n"))
+    assert len(rules) == 6
+    want = {
+        "http://bad.example/": "block", "http://x.bad.example/a": "block", "http://notbad.example/": "allow", "http://bad.example/ok/1": "allow",
+        "http://shop.example/cart/7/pay": "block", "http://shop.example/cart/pay": "allow", "http://a.net/x/banner/y": "block", "http://a.net/banner": "allow",
+        "http://cdn7.ads.example/": "block", "http://ads.example/": "allow", "http://a.net/i/pixel.gif": "block", "http://a.net/" + "long/" * 5000 + "banner/": "block",
+    }
+    df = spark.createDataFrame([(u,) for u in want], "url string")
+    assert {r["url"]: r["verdict"] for r in urlfilter.judge_urls(df, (), rules, inline_rules).collect()} == want
+    with pytest.raises(ValueError):
+        urlfilter.read_rules(["example.com##.ad"])
+
+
+def test_method_rules_fit_hosts_folders_and_files(spark):
+    urls = [f"http://{w}.a.net/" for w in urlfilter.BLOCKED_WORDS] + [f"http://a.net/x/{w}{end}" for w in urlfilter.BLOCKED_WORDS for end in ("/", ".html")]
+    fine = ["http://a.net/trackers/", "http://essex.net/", "http://a.net/adsorption.html", "http://a.net/poker"]
+    df = spark.createDataFrame([(u,) for u in urls + fine], "url string")
+    assert {r["url"] for r in urlfilter.judge_urls(df).where("verdict = 'block'").collect()} == set(urls)
 
 
 # --- SimHash ------------------------------------------------------------------------------
