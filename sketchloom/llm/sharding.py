@@ -14,7 +14,8 @@ without gaps.
 
 Defined cases: a null text has no bytes, and all null and empty texts are equal texts;
 repeated rows are placed one by one; fewer rows than shards leave shards empty; an empty
-table gives an empty result; extra columns are ignored; ties go to the shard of least hash.
+table gives an empty result; extra columns are ignored; ties go to the shard of greatest hash.
+Capacity holds in expectation between rounds; the last step makes it exact, and may split a group.
 """
 
 from __future__ import annotations

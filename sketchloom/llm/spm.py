@@ -8,11 +8,12 @@ backpointers.
 
 For unigram models the maximum is over path scores.  For BPE models, whose encoding is
 not the path of the best score sum, a step is admissible only if the model's merges keep
-its piece and the piece before it apart; exactly one step into each end is, so the path is
-the model's own encoding.
+its piece and the piece before it apart; exactly one step into each end is, so the maximum
+is over a set of one and the path is the model's own encoding.
 
 Defined cases: a null or empty text has no pieces and decodes to the empty text; characters
-outside the vocabulary become byte pieces (or the unknown piece if the model has none);
+outside the vocabulary become byte pieces (or the unknown piece if the model has none); a text
+without separators takes one numpy step for each character between two cuts;
 repeated rows are encoded alike; an empty table gives an empty result; extra columns are kept.
 """
 
