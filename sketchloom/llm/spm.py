@@ -45,7 +45,7 @@ class Codec:
     again move to the newer one, the older one is forgotten when that is full.
     """
 
-    def __init__(self, path: str = DEFAULT_MODEL, cache_bytes: int = 24_000_000):
+    def __init__(self, path: str = DEFAULT_MODEL, cache_bytes: int = 48_000_000):
         self.model = m = Model.load(path)
         self.cache_bytes = cache_bytes
         self.release()
@@ -233,7 +233,7 @@ class Codec:
         for t in texts:
             block.append(self.words(t or ""))
             size += len(block[-1])
-            if size > 100_000:
+            if size > 600_000:
                 out += self._encode_block(block)
                 block, size = [], 0
         return out + self._encode_block(block)
@@ -279,8 +279,8 @@ def encode_documents(docs: DataFrame, model: str = DEFAULT_MODEL, with_ids: bool
         c = codec(model)
         try:
             for whole in batches:
-                for start in range(0, max(1, whole.num_rows), 500):
-                    batch = whole.slice(start, 500)
+                for start in range(0, max(1, whole.num_rows), 1000):
+                    batch = whole.slice(start, 1000)
                     texts = batch.column(at).to_pylist()
                     ids = c.encode(texts)
                     more = [
