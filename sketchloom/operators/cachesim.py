@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import fold
+
 
 class AdaptiveCache:
     def __init__(self, max_items: int = 1000, max_bytes: int = 0, default_ttl: float = 0.0, on_evict: Callable | None = None):
@@ -120,23 +121,21 @@ def replay(df: DataFrame, cache: str, key: str, order: list[str], max_items: int
     Caches (values of ``cache``) are independent; each trace is replayed in its order.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        gone = [0]
+    def start():
         c = AdaptiveCache(max_items, max_bytes, on_evict=lambda *_: gone.__setitem__(0, gone[0] + 1))
-        now = (pdf[time].astype("datetime64[us]").astype("int64") / 1e6) if time else pd.Series(0.0, pdf.index)
-        sizes = pdf[size] if size else pd.Series(0, pdf.index)
-        rows = []
-        for k, t, b in zip(pdf[key], now, sizes, strict=True):
-            _, hit = c.get(k, t)
-            if not hit:
-                c.set(k, True, ttl, t, int(b))
-            rows.append((hit, c.target, len(c), gone[0]))
-        out = pd.DataFrame(rows, columns=["hit", "target", "resident", "evicted"], index=pdf.index)
-        return pd.concat([pdf, out], axis=1)
-
-    kinds = ", ".join(f"`{c}` {k}" for c, k in df.dtypes)
-    return df.groupBy(cache).applyInPandas(run, f"{kinds}, hit boolean, target bigint, resident bigint, evicted bigint")
+        gone = [0]
+        return c, gone
+
+    def step(state, k, *more):
+        c, gone = state
+        now = more[0] / 1e6 if time else 0.0
+        _, hit = c.get(k, now)
+        if not hit:
+            c.set(k, True, ttl, now, int(more[-1] or 0) if size else 0)
+        return hit, c.target, len(c), gone[0]
+
+    inputs = [key, *([time] if time else []), *([size] if size else [])]
+    return fold(df, [cache], order, inputs, start, step, "hit boolean, target bigint, resident bigint, evicted bigint")
 
 
 def hit_ratio(replayed: DataFrame, cache: str) -> DataFrame:

@@ -2,18 +2,18 @@
 
 A decayed rate at an instant is a plain two-phase sum: every event contributes its value
 times exp(-lambda * age).  Moving averages are ordered folds; long series are folded in
-closed form over sorted arrays inside the JVM, or key by key in Arrow batches.
+closed form over sorted arrays inside the JVM, or streamed in Arrow batches.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import fold
+
 #: Smoothing factors of the 1, 5 and 15 minute averages at ticks of 5 seconds.
 ALPHA_1, ALPHA_5, ALPHA_15 = (1 - math.exp(-5 / s) for s in (60, 300, 900))
 
@@ -52,21 +52,14 @@ def running_rate(df: DataFrame, keys: list[str], time: str, tie: str, half_life:
     """Each event with its key's rate just after it (``rate``); late events add without decay."""
     lam = math.log(2) / half_life_or_default(half_life)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([time, tie])
-        t = pdf[time].astype("datetime64[us]").astype("int64").to_numpy() / 1e6
-        n = pdf[value].to_numpy(float) if value else np.ones(len(pdf))
-        out, r, last = np.empty(len(pdf)), 0.0, None
-        for j in range(len(pdf)):
-            if last is not None and t[j] > last:
-                r *= math.exp(-lam * (t[j] - last))
-            last = t[j] if last is None or t[j] > last else last
-            r += n[j]
-            out[j] = r
-        return pdf.assign(rate=out)
+    def step(state: list, now: int, n: float | None = 1.0):
+        rate, last = state
+        if last is not None and now > last:
+            rate *= math.exp(-lam * (now - last) / 1e6)
+        state[:] = rate + (n or 0.0), now if last is None else max(last, now)
+        return (state[0],)
 
-    kinds = ", ".join(f"`{c}` {k}" for c, k in df.dtypes)
-    return df.groupBy(*keys).applyInPandas(run, f"{kinds}, rate double")
+    return fold(df, keys, [time, tie], [time, value] if value else [time], lambda: [0.0, None], step, "rate double")
 
 
 def ewma_of_values(df: DataFrame, keys: list[str], value: str, order: list[str], alpha: float) -> DataFrame:
@@ -110,11 +103,11 @@ def moving_averages(df: DataFrame, keys: list[str], time: str, interval: int = 5
 
 
 def running_ewma(df: DataFrame, keys: list[str], value: str, order: list[str], alpha: float) -> DataFrame:
-    """Each row with its key's average just after it (``ewma``)."""
+    """Each row with its key's average just after it (``ewma``); a null value leaves it as it was."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        return pdf.assign(ewma=pdf[value].ewm(alpha=alpha, adjust=False).mean())
+    def step(state: list, v: float | None):
+        if v is not None:
+            state[0] = float(v) if state[0] is None else alpha * float(v) + (1 - alpha) * state[0]
+        return (state[0],)
 
-    kinds = ", ".join(f"`{c}` {k}" for c, k in df.dtypes)
-    return df.groupBy(*keys).applyInPandas(run, f"{kinds}, ewma double")
+    return fold(df, keys, order, [value], lambda: [None], step, "ewma double")

@@ -123,17 +123,116 @@ def split(networks: DataFrame, cidr: str, prefix: int) -> DataFrame:
     return rows.select(cidr, F.concat_ws("/", ipv4_text(F.col("lo")), F.lit(prefix)).alias("subnet"), "lo")
 
 
+#: Bits of the part of the address space that one group of networks lies in, by family.
+_PART = {4: 8, 6: 16}
+
+
+def _placed(cidrs: pd.Series) -> pd.DataFrame:
+    """A network's part, and whether the network lies within one."""
+    rows = []
+    for x in cidrs:
+        n = ipaddress.ip_network(x, strict=False)
+        rows.append((n.version, int(n.network_address) >> (n.max_prefixlen - _PART[n.version]), n.prefixlen > _PART[n.version], n.prefixlen))
+    return pd.DataFrame(rows, columns=["family", "part", "narrow", "prefix"])
+
+
+def _with_place(networks: DataFrame) -> DataFrame:
+    place = F.pandas_udf(_placed, "family int, part int, narrow boolean, prefix int")
+    return networks.withColumn("at", place("cidr")).select("cidr", "at.*")
+
+
+def _collapsed(pdf: pd.DataFrame) -> pd.DataFrame:
+    nets = [ipaddress.ip_network(x, strict=False) for x in pdf["cidr"]]
+    return pd.DataFrame({"cidr": [str(n) for v in (4, 6) for n in ipaddress.collapse_addresses(x for x in nets if x.version == v)]})
+
+
 def merge_any(networks: DataFrame, cidr: str) -> DataFrame:
-    """(cidr): the minimal cover of networks of either family, IPv4 first.
+    """(cidr): the minimal cover of networks of either family; repeated ones count once.
+
+    Networks within a part of the address space (a /8 of IPv4, a /16 of IPv6) are merged
+    part by part.  What is as wide as a part, given or merged, meets in one task: at most
+    2 * (2^8 + 2^16) different networks.  Networks in parts that those cover then go.
+    A malformed network raises.
+    """
+    at = _with_place(networks.select(F.col(cidr).alias("cidr")).where(F.col("cidr").isNotNull()).distinct())
+    merged = _with_place(at.where("narrow").groupBy("family", "part").applyInPandas(_collapsed, "cidr string"))
+    wide = at.where("not narrow").select("cidr").unionByName(merged.where("not narrow").select("cidr"))
+    wide = _with_place(wide.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_collapsed, "cidr string"))
+    border = F.when(F.col("family") == 4, _PART[4]).otherwise(_PART[6])
+    reach = F.call_function("shiftleft", F.lit(1), border - F.col("prefix"))
+    covered = wide.select("family", F.explode(F.sequence("part", F.col("part") + reach - 1)).alias("part"))
+    return wide.select("cidr").unionByName(merged.where("narrow").join(covered, ["family", "part"], "left_anti").select("cidr"))
+
+
+def _keys(lengths: list[tuple[int, int]]):
+    """Columns of an address's networks of the given (family, prefix), as texts; none for what is no address."""
+
+    @F.pandas_udf("array<string>")
+    def run(ips: pd.Series) -> pd.Series:
+        def one(text):
+            try:
+                x = ipaddress.ip_address(text)
+            except ValueError:
+                return []
+            if x.version == 6 and x.ipv4_mapped:
+                x = x.ipv4_mapped
+            n, value = x.max_prefixlen, int(x)
+            return [f"{v}/{p}/{value >> (n - p):x}" for v, p in lengths if v == x.version]
+
+        return ips.map(one)
+
+    return run
 
-    IPv6 networks are merged by their /16 in Arrow batches, then across.
+
+def _network_keys(cidrs: pd.Series) -> pd.DataFrame:
+    rows = []
+    for x in cidrs:
+        try:
+            n = ipaddress.ip_network(x, strict=False)
+        except ValueError:
+            rows.append((None, None, None))
+            continue
+        rows.append((n.version, n.prefixlen, f"{n.version}/{n.prefixlen}/{int(n.network_address) >> (n.max_prefixlen - n.prefixlen):x}"))
+    out = pd.DataFrame(rows, columns=["family", "prefix", "key"], dtype=object)
+    return out.assign(family=out["family"].astype("Int32"), prefix=out["prefix"].astype("Int32"))
+
+
+def contains_any(addresses: DataFrame, networks: DataFrame, ip: str, cidr: str) -> DataFrame:
+    """(ip, hit) for each distinct address of either family: whether any network holds it.
+
+    The join of ``contains`` on at most 33 + 129 prefix lengths.  IPv4-mapped addresses
+    count as IPv4; malformed networks are skipped, malformed addresses are in none.
     """
+    nets = networks.select(F.col(cidr).alias("cidr")).where(F.col("cidr").isNotNull()).distinct()
+    nets = nets.select(F.pandas_udf(_network_keys, "family int, prefix int, key string")("cidr").alias("n")).where("n.key is not null").select("n.*").distinct()
+    lengths = [(r["family"], r["prefix"]) for r in nets.select("family", "prefix").distinct().collect()]
+    asked = addresses.select(ip).where(F.col(ip).isNotNull()).distinct()
+    if not lengths:
+        return asked.select(ip, F.lit(False).alias("hit"))
+    hits = asked.select(ip, F.explode(_keys(lengths)(ip)).alias("key")).join(nets.select("key"), "key", "left_semi").select(ip).distinct()
+    return asked.join(hits.withColumn("_h", F.lit(True)), ip, "left").select(ip, F.coalesce("_h", F.lit(False)).alias("hit"))
+
+
+def split_ipv6(networks: DataFrame, cidr: str, prefix: int) -> DataFrame:
+    """(cidr, subnet) of every IPv6 subnet of ``prefix`` bits, as ``split``: at most 2^24 of a network, else none."""
+    if not 0 <= prefix <= 128:
+        raise BadNetwork(f"prefix {prefix}")
+
+    @F.pandas_udf("int")
+    def bits(cidrs: pd.Series) -> pd.Series:
+        def one(x):
+            try:
+                return prefix - ipaddress.IPv6Network(x, strict=False).prefixlen
+            except ValueError:
+                return -1
+
+        return cidrs.map(one)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        nets = [ipaddress.ip_network(x, strict=False) for x in pdf["cidr"]]
-        out = [str(n) for v in (4, 6) for n in ipaddress.collapse_addresses(x for x in nets if x.version == v)]
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]] * len(out), "cidr": out})
+    @F.pandas_udf("string")
+    def subnet(cidrs: pd.Series, places: pd.Series) -> pd.Series:
+        base = {x: int(ipaddress.IPv6Network(x, strict=False).network_address) for x in cidrs.unique()}
+        return pd.Series([f"{ipaddress.IPv6Address(base[x] + (int(k) << (128 - prefix)))}/{prefix}" for x, k in zip(cidrs, places, strict=True)], dtype=object)
 
-    rows = networks.select(F.substring_index(F.substring_index(cidr, ":", 1), ".", 1).alias("part"), F.col(cidr).alias("cidr"))
-    first = rows.groupBy("part").applyInPandas(fold, "part string, cidr string")
-    return first.select(F.lit("").alias("part"), "cidr").groupBy("part").applyInPandas(fold, "part string, cidr string").select("cidr")
+    n = networks.select(cidr).where(F.col(cidr).isNotNull()).withColumn("_bits", bits(cidr)).where("_bits between 0 and 24")
+    rows = n.select(cidr, F.explode(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.col("_bits")) - 1)).alias("_k"))
+    return rows.select(cidr, subnet(cidr, "_k").alias("subnet"))

@@ -6,10 +6,11 @@ replayed key by key; the bound on the number of keys is global and needs one ord
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import fold
+
 WINDOW, MAX_KEYS = 60.0, 1000
 
 
@@ -55,32 +56,27 @@ class FixedWindow:
         return 0 if e is None or now > e[2] else e[0]
 
 
-def _seconds(times: pd.Series) -> pd.Series:
-    return times.astype("datetime64[us]").astype("int64") / 1e6
+def _micros(window: float) -> int:
+    return round((window if window > 0 else WINDOW) * 1e6)
 
 
 def replay(df: DataFrame, key: str, time: str, tie: str, limit: int, window: float = WINDOW, amount: str | None = None) -> DataFrame:
     """Each event with ``allowed``, the window's ``count`` and ``window_end`` just after it.
 
-    Without ``amount`` every event asks to be allowed; with it, events only add so much.
+    Without ``amount`` every event asks to be allowed; with it, events only add so much
+    (a null adds nothing).  Times are whole microseconds, so a window's end is exact.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([time, tie])
-        w, rows = FixedWindow(window), []
-        for j, now in enumerate(_seconds(pdf[time])):
-            if amount is None:
-                ok = w.allow(0, limit, now)
-            else:
-                w.add(0, int(pdf[amount].iloc[j]), now)
-                ok = not (0 in w.keys and w.keys[0][1])
-            e = w.keys.get(0, [0, False, now])
-            rows.append((ok, w.count(0, now), e[2]))
-        out = pd.DataFrame(rows, columns=["allowed", "count", "end"], index=pdf.index)
-        return pdf.assign(allowed=out["allowed"], count=out["count"], window_end=pd.to_datetime((out["end"] * 1e6).round().astype("int64"), unit="us"))
+    def step(w: FixedWindow, now: int, n: int | None = None):
+        if amount is None:
+            ok = w.allow(0, limit, now)
+        else:
+            w.add(0, n or 0, now)
+            ok = not (0 in w.keys and w.keys[0][1])
+        return ok, w.count(0, now), w.keys[0][2] if 0 in w.keys else now
 
-    kinds = ", ".join(f"`{c}` {k}" for c, k in df.dtypes)
-    return df.groupBy(key).applyInPandas(run, f"{kinds}, allowed boolean, count bigint, window_end timestamp")
+    inputs = [time] if amount is None else [time, amount]
+    return fold(df, [key], [time, tie], inputs, lambda: FixedWindow(_micros(window)), step, "allowed boolean, count bigint, window_end timestamp")
 
 
 def state_at(replayed: DataFrame, key: str, time: str, tie: str, at) -> DataFrame:
@@ -94,10 +90,7 @@ def state_at(replayed: DataFrame, key: str, time: str, tie: str, at) -> DataFram
 def replay_bounded(df: DataFrame, key: str, time: str, tie: str, limit: int, window: float, max_keys: int) -> DataFrame:
     """Each event with ``allowed`` under a bound on all keys at once: a simulation in one ordered task."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([time, tie])
-        w = FixedWindow(window, max_keys)
-        return pdf.drop(columns="_all").assign(allowed=[w.allow(k, limit, now) for k, now in zip(pdf[key], _seconds(pdf[time]), strict=True)])
+    def step(w: FixedWindow, k, now: int):
+        return (w.allow(k, limit, now),)
 
-    kinds = ", ".join(f"`{c}` {k}" for c, k in df.dtypes)
-    return df.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, f"{kinds}, allowed boolean")
+    return fold(df, [], [time, tie], [key, time], lambda: FixedWindow(_micros(window), max_keys), step, "allowed boolean")

@@ -254,6 +254,39 @@ def net_4_split(spark, sf):
     return networks.split(nation, "cidr", 20)
 
 
+def _both_families(spark, sf):
+    """An address of each line: IPv4, IPv6 or IPv4-mapped."""
+    six = F.concat(F.lit("2001:db8:"), F.lower(F.hex(F.pmod("l_partkey", F.lit(256)))), F.lit("::"), F.lower(F.hex(F.pmod("l_orderkey", F.lit(256)) + 1)))
+    kind = F.pmod("l_linenumber", F.lit(3))
+    four = F.concat_ws(".", F.lit("10"), *(F.pmod(c, F.lit(256)).cast("string") for c in ("l_partkey", "l_suppkey", "l_orderkey")))
+    return load(spark, sf, "lineitem").select(F.when(kind == 0, six).when(kind == 1, four).otherwise(F.concat(F.lit("::ffff:"), four)).alias("ip"))
+
+
+_ANY_NETS = ["2001:db8:40::/42", "2001:db8::7/128", "10.64.0.0/10", "bad"]
+
+
+@query("""SELECT DISTINCT CASE l_linenumber % 3 WHEN 0 THEN concat('2001:db8:', lower(to_hex(l_partkey % 256)), '::', lower(to_hex(l_orderkey % 256 + 1)))
+WHEN 1 THEN concat('10.', l_partkey % 256, '.', l_suppkey % 256, '.', l_orderkey % 256) ELSE concat('::ffff:10.', l_partkey % 256, '.', l_suppkey % 256, '.', l_orderkey % 256) END AS ip,
+CASE l_linenumber % 3 WHEN 0 THEN l_partkey % 256 BETWEEN 64 AND 127 OR (l_partkey % 256 = 0 AND l_orderkey % 256 = 6) ELSE l_partkey % 256 BETWEEN 64 AND 127 END AS hit FROM lineitem""")
+def net_1_contains_any(spark, sf):
+    return networks.contains_any(_both_families(spark, sf), spark.createDataFrame([(n,) for n in _ANY_NETS], "cidr string"), "ip", "cidr")
+
+
+@query("SELECT unnest(['10.0.0.0/10', '10.64.0.0/11', '10.96.0.0/14', '2001:db8::/36', '2001:db8:1000::/37', '2001:db8:1800::/40']) AS cidr")
+def net_3_merge_any(spark, sf):
+    """Twenty-five neighbouring networks of each family."""
+    nation = load(spark, sf, "nation")
+    four = nation.select(F.concat(F.lit("10."), F.col("n_nationkey") * 4, F.lit(".0.0/14")).alias("cidr"))
+    six = nation.select(F.concat(F.lit("2001:db8:"), F.lower(F.hex(F.col("n_nationkey") * 256)), F.lit("::/40")).alias("cidr"))
+    return networks.merge_any(four.unionByName(six), "cidr")
+
+
+@query("SELECT concat('2001:db8:', lower(to_hex(n_nationkey + 1)), '::/48') AS cidr, CASE i WHEN 0 THEN concat('2001:db8:', lower(to_hex(n_nationkey + 1)), '::/52') ELSE concat('2001:db8:', lower(to_hex(n_nationkey + 1)), ':', lower(to_hex(i * 4096)), '::/52') END AS subnet FROM nation, range(0, 16) r(i)")
+def net_4_split_ipv6(spark, sf):
+    six = load(spark, sf, "nation").select(F.concat(F.lit("2001:db8:"), F.lower(F.hex(F.col("n_nationkey") + 1)), F.lit("::/48")).alias("cidr"))
+    return networks.split_ipv6(six, "cidr", 52)
+
+
 @query(f"SELECT l_orderkey, l_linenumber, concat('10.', l_partkey % 256, '.', (l_suppkey % 256) - (l_suppkey % 256) % 16, '.0') AS net FROM lineitem")
 def net_5_strip(spark, sf):
     number = addresses.ipv4_number(F.col("ip"))
@@ -266,7 +299,7 @@ def net_6_proxy_v1(spark, sf):
     return _addresses(spark, sf).withColumn("h", addresses.proxy_v1(line)).select("l_orderkey", "l_linenumber", "h.family", "h.src", "h.src_port")
 
 
-@query()
+@query(f"SELECT l_orderkey, l_linenumber, 'TCP4' AS family, {_IP_TEXT} AS src, '10.0.0.1' AS dst, (l_orderkey % 65536)::INT AS src_port, 443 AS dst_port FROM lineitem")
 def net_7_proxy_v2(spark, sf):
     port = F.substring(F.hex(F.pmod("l_orderkey", F.lit(65536)) + 65536), 2, 4)
     body = F.concat(F.lit("0D0A0D0A000D0A515549540A2111000C0A"), *(F.substring(F.hex(F.pmod(c, F.lit(256)) + 256), 2, 2) for c in ("l_partkey", "l_suppkey", "l_orderkey")), F.lit("0A000001"), port, F.lit("01BB"))

@@ -1,12 +1,15 @@
 """Synopses, folds, lookups and simulations: accuracy, algebra and literal cases."""
 
 import datetime as dt
+import hashlib
 import ipaddress
 import math
 import os
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sketchloom.operators import bloom, cachesim, chunking, countmin, cuckoo, decay, heavy_hitters, hll, markov, networks, prefixes, quantiles, ratelimit, secrets
@@ -154,6 +157,42 @@ def test_fixed_windows(spark):
     assert ratelimit.state_at(out, "k", "ts", "id", at(300)).first()["count"] == 0
 
 
+def test_folds_stream_over_batches(spark):
+    r = random.Random(4)
+    rows = [(r.choice(["a", "b", None]), at(r.randrange(500)), r.choice([1.0, 2.5, None]), j) for j in range(700)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, n double, id int").persist()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        counts = {x["id"]: (x["allowed"], x["count"]) for x in ratelimit.replay(df, "k", "ts", "id", 3, 60).collect()}
+        bounded = {x["id"]: x["allowed"] for x in ratelimit.replay_bounded(df, "k", "ts", "id", 3, 60, 2).collect()}
+        rate = {x["id"]: x["rate"] for x in decay.running_rate(df, ["k"], "ts", "id", 60, "n").collect()}
+        ewma = {x["id"]: x["ewma"] for x in decay.running_ewma(df, ["k"], "n", ["ts", "id"], 0.25).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    windows, open_, sums, means = {}, {}, {}, {}
+    for k, ts, n, j in sorted(rows, key=lambda x: (x[1], x[3])):
+        now = ts.timestamp()
+        # one key's window
+        if k not in windows or now > windows[k][1]:
+            windows[k] = [0, now + 60]
+        windows[k][0] += 1
+        assert counts[j] == (windows[k][0] <= 3, windows[k][0])
+        # two windows at most are open: expired ones go first, else the one that ends first
+        if k not in open_ and len(open_) == 2:
+            for gone in [x for x in open_ if now > open_[x][1]] or [min(open_, key=lambda x: (open_[x][1], str(x)))]:
+                del open_[gone]
+        if k not in open_ or now > open_[k][1]:
+            open_[k] = [0, now + 60]
+        open_[k][0] += 1
+        assert bounded[j] == (open_[k][0] <= 3)
+        sums.setdefault(k, []).append((now, n or 0))
+        assert math.isclose(rate[j], sum(v * 0.5 ** ((now - t) / 60) for t, v in sums[k]), abs_tol=1e-9)
+        if n is not None:
+            means[k] = n if k not in means else 0.25 * n + 0.75 * means[k]
+        assert ewma[j] == means.get(k)
+    assert ratelimit.replay(df.limit(0), "k", "ts", "id", 3, 60).count() == 0
+
+
 # --- chains and chunks --------------------------------------------------------------------
 
 
@@ -196,6 +235,36 @@ def test_chunks_cover_the_data(spark, tmp_path):
             chunking.Chunking(*bad)
 
 
+def test_chunks_equal_a_plain_version(spark):
+    """Byte by byte: the hash runs over the whole text, the harder mask holds up to the average size."""
+
+    def plain(data, c):
+        hard, easy = c.masks()
+        ends, start, h = [], 0, 0
+        for k, b in enumerate(data):
+            h = (2 * h + int(chunking.GEAR[b])) % 2**64
+            size = k + 1 - start
+            if size > c.least and (h & (hard if size <= c.average else easy) == 0 or size == c.most):
+                ends.append(k + 1)
+                start = k + 1
+        return [*ends, len(data)] if start < len(data) else ends
+
+    r = random.Random(5)
+    texts = ["", "a", "ab" * 700, "é" * 900, *("".join(r.choices("abc de\n", k=r.randrange(5000))) for _ in range(20))]
+    df = spark.createDataFrame(list(enumerate([*texts, None, texts[5]])), "id int, t string")
+    for c in (chunking.Chunking(64, 256, 1024, 2), chunking.Chunking(16, 64, 100, 0), chunking.Chunking(1, 2, 3, 3)):
+        want = []
+        for j, t in enumerate([*texts, None, texts[5]]):
+            data, start = (t or "").encode(), 0
+            for end in plain(data, c):
+                want.append((j, start, end - start, hashlib.sha256(data[start:end]).hexdigest()))
+                start = end
+        got = chunking.chunk(df, "t", ["id"], c)
+        assert sorted((x["id"], x["offset"], x["length"], x["hash"]) for x in got.collect()) == want
+        sizes = Counter(x[3] for x in want)
+        assert {x["hash"]: x["n"] for x in chunking.duplicates(got).collect()} == sizes
+
+
 # --- lookups ------------------------------------------------------------------------------
 
 
@@ -246,7 +315,27 @@ def test_networks(spark):
     subnets = networks.split(one, "cidr", 24).orderBy("lo").collect()
     assert len(subnets) == 256 and subnets[1].subnet == "192.168.1.0/24" and networks.split(one, "cidr", 8).count() == 0
     six = spark.createDataFrame([("2001:db8::/33",), ("2001:db8:8000::/33",), ("10.0.0.0/8",)], "cidr string")
-    assert [r.cidr for r in networks.merge_any(six, "cidr").collect()] == ["10.0.0.0/8", "2001:db8::/32"]
+    assert {r.cidr for r in networks.merge_any(six, "cidr").collect()} == {"10.0.0.0/8", "2001:db8::/32"}
+
+
+def test_random_networks_of_both_families(spark):
+    r = random.Random(8)
+    six = [ipaddress.ip_network(((0x2000 + r.getrandbits(3) << 112) | (r.getrandbits(6) << 106) | r.getrandbits(106), r.choice([13, 15, 16, 17, 20, 22, 64, 128])), strict=False) for _ in range(200)]
+    four = [ipaddress.ip_network((r.getrandbits(32), r.choice([6, 8, 9, 16, 24])), strict=False) for _ in range(60)]
+    df = spark.createDataFrame([(str(n),) for n in [*six, *four, six[0]]], "cidr string")
+    want = {str(n) for v in (six, four) for n in ipaddress.collapse_addresses(v)}
+    got = [x.cidr for x in networks.merge_any(df, "cidr").collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert networks.merge_any(df.limit(0), "cidr").count() == 0
+    ips = [*(ipaddress.ip_address((0x2000 + r.getrandbits(4) << 112) | r.getrandbits(112)) for _ in range(200)), *(ipaddress.ip_address(r.getrandbits(32)) for _ in range(100))]
+    asked = spark.createDataFrame([(str(i),) for i in ips] + [("bad",), (None,)], "ip string")
+    got = {x.ip: x.hit for x in networks.contains_any(asked, df.union(spark.createDataFrame([("no",)], "cidr string")), "ip", "cidr").collect()}
+    assert got == {str(i): any(i in n for n in [*six, *four]) for i in ips} | {"bad": False}
+    assert not any(x.hit for x in networks.contains_any(asked, df.limit(0), "ip", "cidr").collect())
+    one = spark.createDataFrame([("2001:db8::/46",), ("10.0.0.0/8",), ("::/0",)], "cidr string")
+    assert {x.subnet for x in networks.split_ipv6(one, "cidr", 48).collect()} == {str(n) for n in ipaddress.ip_network("2001:db8::/46").subnets(new_prefix=48)}
+    with pytest.raises(networks.BadNetwork):
+        networks.split_ipv6(one, "cidr", 129)
 
 
 # --- secrets and caches -------------------------------------------------------------------
@@ -295,3 +384,79 @@ def test_adaptive_cache(spark):
     df = spark.createDataFrame([(1, j, k) for j, k in enumerate("abababcdefab")], "c int, t int, k string")
     out = cachesim.replay(df, "c", "k", ["t"], 3)
     assert cachesim.hit_ratio(out, "c").first().hits >= 5
+
+
+def test_replayed_cache_equals_a_plain_version(spark):
+    """The adaptive replacement policy on plain lists, for a get and a set after each miss."""
+
+    def plain(keys, size):
+        t1, t2, b1, b2, p, out, evicted = [], [], [], [], 0, [], 0
+
+        def replace(ghost_often):
+            nonlocal evicted
+            if t1 and (len(t1) > p or (len(t1) == p and ghost_often) or not t2):
+                b1.append(t1.pop(0))
+            else:
+                b2.append(t2.pop(0))
+            evicted += 1
+
+        for k in keys:
+            hit = k in t1 or k in t2
+            if hit:
+                (t1 if k in t1 else t2).remove(k)
+                t2.append(k)
+            elif k in b1:
+                p = min(size, p + max(1, len(b2) // len(b1)))
+                replace(False)
+                b1.remove(k)
+                t2.append(k)
+            elif k in b2:
+                p = max(0, p - max(1, len(b1) // len(b2)))
+                replace(True)
+                b2.remove(k)
+                t2.append(k)
+            else:
+                if len(t1) == size:  # the oldest of the first list leaves, within a bound on what is remembered
+                    if len(b1) + len(b2) >= size:
+                        del b1[:1]
+                    b1.append(t1.pop(0))
+                    evicted += 1
+                elif len(t1) + len(t2) == size:
+                    if len(b1) + len(b2) >= size:
+                        del (b2 or b1)[:1]
+                    replace(False)
+                t1.append(k)
+            out.append((hit, p, len(t1) + len(t2), evicted))
+        return out
+
+    r = random.Random(6)
+    traces = {c: [int(r.paretovariate(0.7)) % 40 if r.random() < 0.8 else 1000 + j for j in range(400)] for c in (1, 2)}
+    df = spark.createDataFrame([(c, j, k) for c, keys in traces.items() for j, k in enumerate(keys)], "c int, t int, k int")
+    for size in (1, 5, 12):
+        got = cachesim.replay(df, "c", "k", ["t"], size).orderBy("c", "t").collect()
+        want = [x for keys in traces.values() for x in plain(keys, size)]
+        assert [(x["hit"], x["target"], x["resident"], x["evicted"]) for x in got] == want
+
+
+def test_summaries_equal_a_plain_version(spark):
+    r = random.Random(7)
+    items = [int(r.paretovariate(0.8)) % 60 for _ in range(500)]
+    df = spark.createDataFrame([(1, j, str(x)) for j, x in enumerate(items)], "k int, t int, item string")
+    got = {x["item"]: (x["cnt"], x["err"]) for x in heavy_hitters.space_saving(df, "item", ["t"], 10, ["k"]).collect()}
+    exact = Counter(map(str, items))
+    assert len(got) == 10 and sum(c for c, _ in got.values()) == len(items)
+    assert all(c - e <= exact[x] <= c for x, (c, e) in got.items())
+    assert all(x in got for x, n in exact.items() if n > len(items) / 10)
+
+
+def test_every_two_shares_of_the_query_give_the_secret(spark, sf):
+    from itertools import combinations
+
+    from sketchloom.plans.folds import sh_1_shares
+
+    names = {x["s_suppkey"]: x["s_name"] for x in spark.read.parquet(f"{sf}/supplier.parquet").collect()}
+    shares = sh_1_shares(spark, sf).persist()
+    numbered = shares.withColumn("x", F.row_number().over(Window.partitionBy("s_suppkey").orderBy("share")))
+    for pair in combinations((1, 2, 3), 2):
+        back = secrets.combine_table(numbered.where(F.col("x").isin(*pair)), "s_suppkey").collect()
+        assert {x["s_suppkey"]: bytes(x["secret"]).decode() for x in back} == names
