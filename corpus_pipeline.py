@@ -3,6 +3,12 @@ decontamination and tokenisation.  Each stage reads what the one before has writ
 
 Every stage but the last returns the columns of ``documents``; the last adds the piece
 ids, their number and checksum, and whether decoding gives the text back.
+
+Defined cases: rows whose text is null, empty or without letters go in the first stage;
+of repeated rows one stays; rows of a null id are judged by their text like others; a null
+source is no host and never condemned; empty documents give an empty result and an empty
+benchmark removes nothing; texts of any length are read whole; extra columns are carried,
+whatever their names.
 """
 
 from __future__ import annotations
