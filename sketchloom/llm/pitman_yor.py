@@ -1,19 +1,25 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Tokens are the words of a text, A-Z lower-cased, and one end.  The restaurant of a context
-(the class of the word before: the low five bits of its last byte, or the start of a text)
-draws from one shared parent, the restaurant of all words; that one draws from a uniform
-distribution over the training vocabulary and one unseen word.  Seating is sampled by
-Gibbs sweeps: each sweep seats every word's customers anew, context by context, given the
-parent's probability of the word and all restaurants' tables in the sweep before; the
-tables are the parent's customers and are seated there.  Words are independent within a
-sweep, so a sweep is one pass over the table of counts; between sweeps only the totals of
-the restaurants (34 rows) reach the driver.  Predictive probabilities are averaged over
-the sweeps after the first.
-
-Scoring: words frequent enough to fit a table of ``table_words`` words (their number is
-counted, not assumed) are scored where the text is; the others are sent to the table of
-counts and their scores summed by document.
+Tokens are the words of a text, A-Z lower-cased, and one end.  Every word before (or the
+start of a text) is a context with a restaurant of its own.  That restaurant draws from the
+one of its class (the low five bits of the word's last byte, or the start), which all words
+of that ending share; the classes draw from the restaurant of all words, and that one from
+a uniform distribution over the training vocabulary and one unseen word.  So the whole
+table of (word before, word) pairs is counted and seated.  A restaurant's tables are the
+customers of the one above.  Seating is sampled by sweeps: each sweep seats every word's
+customers anew, restaurant by restaurant, given the probabilities of the word one level up
+and all restaurants' tables in the sweep before.  Words are independent within a sweep, so
+a sweep is one pass over the table of counts; between sweeps only the totals of the 34
+upper restaurants and the contexts with a second table for some word reach the driver.
+Predictive probabilities are averaged over the sweeps after the first.
+
+Contexts are numbers: 59 hash bits and the class, so that two contexts of a class are taken
+for one only if their hashes agree.  Tokens are never hashed.
+
+Scoring: texts are cut into blocks, and a block sends each different pair once to the
+table of counts, by word.  What a context adds (its customers and different words) is
+looked up in a table of the ``table_words`` most frequent contexts (their number is counted,
+not assumed); pairs with other contexts are joined with the table of all contexts.
 
 Defined cases: a null or empty text is one end; with no training document N = 0 and every
 token is unseen; repeated rows are scored one by one; an empty table gives an empty
@@ -22,20 +28,26 @@ result; extra columns are ignored; a null id counts as the text '' in its fold.
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
+import pickle
 from dataclasses import dataclass
+from hashlib import blake2b
+from typing import NamedTuple
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_remainder, durable, join_checked, stored
 
 END = b"\n"  # no word holds white space
+BEFORE = b""  # what stands before the first token
 START = 32
-CONTEXTS = 33
+CONTEXTS = 33  # classes
+START_ID = -1
+BLOCK_TOKENS, BLOCK_DOCS = 1 << 22, 32_000
 
 
 @dataclass(frozen=True)
@@ -48,43 +60,232 @@ class PitmanYor:
     burn_in: int = 1
     table_words: int = 150_000
     seed: int = 7
+    word_discount: float = 0.75
+    word_strength: float = 1.0
 
 
-def tokens_of(text: bytes | None) -> tuple[list[bytes], list[int]]:
-    """The tokens and the context class of each."""
+def tokens_of(text: bytes | None) -> tuple[list[bytes], list[bytes]]:
+    """The tokens and the context of each: the word before, or BEFORE."""
     tokens = (text or b"").lower().split()
-    contexts = [START]
-    contexts += [t[-1] & 31 for t in tokens]
+    contexts = [BEFORE, *tokens]
     tokens.append(END)
     return tokens, contexts
 
 
-def count_tokens(docs: DataFrame, flush: int = 400_000) -> DataFrame:
-    """(token, cls array, n array): one row for each distinct token of ``text`` (binary).
+def context_id(word: bytes) -> int:
+    """59 bits of a hash and the class of a word; START_ID for the start of a text."""
+    if word == BEFORE:
+        return START_ID
+    return int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True) & ~31 | word[-1] & 31
 
-    Counted where the texts are, in memory bounded by ``flush`` entries, before the one shuffle.
+
+def classes(contexts: np.ndarray) -> np.ndarray:
+    return np.where(contexts == START_ID, START, contexts & 31)
+
+
+class _Numbers(dict):
+    def __missing__(self, word):
+        number = self[word] = len(self)
+        return number
+
+
+class Block:
+    """Texts as arrays: a number for each different token, and for each token its number, the one before and its text."""
+
+    def __init__(self):
+        self.numbers = _Numbers({BEFORE: 0, END: 1})
+        self.flat: list[int] = []
+        self.sizes: list[int] = []
+
+    def add(self, text: bytes | None) -> None:
+        # a token's context is the token before, so one list holds both columns of ``tokens_of``
+        tokens, _ = tokens_of(text)
+        self.flat.extend(map(self.numbers.__getitem__, tokens))
+        self.sizes.append(len(tokens))
+
+    def full(self, flush: int) -> bool:
+        return len(self.flat) >= BLOCK_TOKENS or len(self.sizes) >= BLOCK_DOCS or len(self.numbers) > flush
+
+    def arrays(self):
+        """Tokens, context ids by number, and for each token (number << 32 | number of its context)."""
+        words = list(self.numbers)
+        flat = np.array(self.flat, np.int64)
+        before = np.concatenate(([1], flat[:-1]))[: len(flat)]
+        before[before == 1] = 0  # behind an end a text starts
+        return words, np.array([context_id(w) for w in words], np.int64), flat << 32 | before
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray, kind=None) -> pa.ListArray:
+    ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, kind))
+
+
+def _sizes(column: pa.ListArray) -> np.ndarray:
+    return np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
+
+
+def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of each run of equal values."""
+    n = len(sorted_values)
+    starts = np.flatnonzero(np.concatenate((np.ones(min(n, 1), bool), sorted_values[1:] != sorted_values[:-1])))
+    return starts, np.diff(np.concatenate((starts, [n])))
+
+
+def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each key, and whether it is there."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
+
+
+def count_pairs(docs: DataFrame, flush: int = 400_000) -> DataFrame:
+    """(token, ctx array, n array): one row for each distinct token of ``text`` (binary), contexts ascending.
+
+    Counted in blocks of about ``flush`` different words where the texts are, before the one shuffle.
     """
 
     def run(batches):
-        counts: Counter = Counter()
+        block = Block()
 
         def out():
-            keys = list(counts)
-            yield pa.RecordBatch.from_pydict({"token": pa.array([k[0] for k in keys], pa.binary()), "cls": pa.array([k[1] for k in keys], pa.int32()), "n": pa.array([counts[k] for k in keys], pa.int64())})
-            counts.clear()
+            words, ids, keys = block.arrays()
+            keys.sort()
+            starts, n = _runs(keys)
+            pairs = keys[starts]
+            first, sizes = _runs(pairs >> 32)
+            names = [words[k] for k in (pairs[first] >> 32).tolist()]
+            for k in range(0, len(names), 20_000):
+                lo, hi = first[k], first[k + 20_000] if k + 20_000 < len(first) else len(pairs)
+                cut = sizes[k : k + 20_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names[k : k + 20_000], pa.binary()), _lists(ids[pairs[lo:hi] & 0xFFFFFFFF], cut), _lists(n[lo:hi].astype(np.int64), cut)], ["token", "ctx", "n"]
+                )
 
         for batch in batches:
             for t in batch.column(0):
-                counts.update(zip(*tokens_of(t.as_py()), strict=True))
-                if len(counts) > flush:
+                block.add(t.as_py())
+                if block.full(flush):
                     yield from out()
-        yield from out()
+                    block = Block()
+        if block.sizes:
+            yield from out()
+
+    def merge(batches):
+        held = None  # the last token may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tokens, sizes = batch.column(0).to_pylist(), _sizes(batch.column(1))
+            ctx, n = np.asarray(batch.column(1).flatten()), np.asarray(batch.column(2).flatten())
+            if held is not None:
+                tokens.insert(0, held[0])
+                sizes, ctx, n = np.concatenate(([len(held[1])], sizes)), np.concatenate((held[1], ctx)), np.concatenate((held[2], n))
+            new = np.array([True, *(a != b for a, b in zip(tokens[1:], tokens, strict=False))])
+            word = np.repeat(np.cumsum(new) - 1, sizes)
+            order = np.lexsort((ctx, word))
+            ctx, n, word = ctx[order], n[order], word[order]
+            starts = np.flatnonzero(np.concatenate(([True], (ctx[1:] != ctx[:-1]) | (word[1:] != word[:-1]))))
+            ctx, n, word = ctx[starts], np.add.reduceat(n, starts), word[starts]
+            names = [tokens[k] for k in np.flatnonzero(new).tolist()]
+            last = np.searchsorted(word, len(names) - 1)
+            held = names.pop(), ctx[last:], n[last:]
+            sizes = np.bincount(word[:last], minlength=len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), _lists(ctx[:last], sizes), _lists(n[:last], sizes)], ["token", "ctx", "n"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.binary()), _lists(held[1], np.array([len(held[1])])), _lists(held[2], np.array([len(held[2])]))], ["token", "ctx", "n"])
+
+    schema = "token binary, ctx array<bigint>, n array<bigint>"
+    return docs.select("text").mapInArrow(run, schema).repartition("token").sortWithinPartitions("token").mapInArrow(merge, schema)
+
+
+def contexts_of(pairs: DataFrame) -> DataFrame:
+    """(ctx, c, types): customers and different words of every context."""
 
-    rows = docs.select("text").mapInArrow(run, "token binary, cls int, n bigint")
-    # the shuffle by token serves both aggregates
-    sums = rows.repartition("token").groupBy("token", "cls").agg(F.sum("n").alias("n"))
-    pairs = F.sort_array(F.collect_list(F.struct("cls", "n")))  # at most CONTEXTS
-    return sums.groupBy("token").agg(pairs.alias("p")).select("token", F.col("p.cls").alias("cls"), F.col("p.n").alias("n"))
+    def run(batches):
+        held, size = [], 0
+
+        def out():
+            ctx, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(ctx)
+            starts, types = _runs(ctx[order])
+            c = np.add.reduceat(n[order], starts) if len(starts) else n
+            yield pa.RecordBatch.from_arrays([pa.array(ctx[order][starts]), pa.array(c), pa.array(types.astype(np.int64))], ["ctx", "c", "types"])
+            held.clear()
+
+        for batch in batches:
+            held.append((np.asarray(batch.column(0).flatten()), np.asarray(batch.column(1).flatten())))
+            size += len(held[-1][0])
+            if size > 4_000_000:
+                yield from out()
+                size = 0
+        if held:
+            yield from out()
+
+    found = pairs.select("ctx", "n").mapInArrow(run, "ctx bigint, c bigint, types bigint")
+    return found.groupBy("ctx").agg(F.sum("c").alias("c"), F.sum("types").alias("types"))
+
+
+def frequent_contexts(contexts: DataFrame, m: PitmanYor) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(ctx ascending, c, types) of at most ``table_words`` contexts, and the least count of those."""
+    least = _frequent(contexts, m)
+    table = contexts.where(F.col("c") >= least).toArrow()
+    ctx, c, types = (np.asarray(table.column(k).combine_chunks() if table.num_rows else pa.array([], pa.int64())) for k in ("ctx", "c", "types"))
+    order = np.argsort(ctx)
+    return ctx[order], c[order], types[order], least
+
+
+def with_types(pairs: DataFrame, contexts: DataFrame, table) -> DataFrame:
+    """``pairs`` with ``types`` array: the different words of the context, where a pair has occurred twice; else 0."""
+    frequent, _, frequent_types, least = table
+    known = pairs.sparkSession.sparkContext.broadcast((frequent, frequent_types))
+
+    def others(batches):
+        for batch in batches:
+            ctx, n = np.asarray(batch.column(1).flatten()), np.asarray(batch.column(2).flatten())
+            row = np.repeat(np.arange(batch.num_rows), _sizes(batch.column(1)))
+            some = np.flatnonzero(n > 1)
+            some = some[~_find(known.value[0], ctx[some])[1]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[some])), pa.array(ctx[some])], ["token", "ctx"])
+
+    rare = pairs.mapInArrow(others, "token binary, ctx bigint").join(contexts.where(F.col("c") < least), "ctx")
+    rare = durable(rare.groupBy("token").agg(F.collect_list("ctx").alias("rare"), F.collect_list("types").alias("rare_types")))
+
+    def run(batches):
+        for batch in batches:
+            ctx, n = np.asarray(batch.column(1).flatten()), np.asarray(batch.column(2).flatten())
+            types = np.zeros(len(n), np.int64)
+            some = np.flatnonzero(n > 1)
+            at, there = _find(known.value[0], ctx[some])
+            types[some[there]] = known.value[1][at[there]]
+            keys, first = np.unique(np.asarray(batch.column(3).flatten()), return_index=True)
+            some = some[~there]
+            if len(some):
+                at, there = _find(keys, ctx[some])
+                assert there.all()
+                types[some] = np.asarray(batch.column(4).flatten())[first[at]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _lists(types, _sizes(batch.column(1)))], ["token", "ctx", "n", "types"])
+
+    joined = join_checked(pairs, rare, "token", "left").select("token", "ctx", "n", "rare", "rare_types")
+    return joined.mapInArrow(run, "token binary, ctx array<bigint>, n array<bigint>, types array<bigint>")
+
+
+def _drop(df: DataFrame) -> None:
+    """Delete a table that ``stored`` has made, and the shuffles of queries that are gone."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark._jvm.System.gc()  # Spark removes shuffles when their plans are collected
+
+
+def count_tokens(docs: DataFrame, flush: int = 400_000, m: PitmanYor = PitmanYor()) -> DataFrame:
+    """(token, ctx array, n array, types array): the table of counts that ``sample`` reads."""
+    pairs = stored(count_pairs(docs, flush))
+    contexts = durable(contexts_of(pairs))
+    counts = stored(with_types(pairs, contexts, frequent_contexts(contexts, m)))
+    _drop(pairs)
+    return counts
 
 
 def seat(customers: np.ndarray, new: np.ndarray, discount: float, rng) -> np.ndarray:
@@ -109,13 +310,16 @@ def seat(customers: np.ndarray, new: np.ndarray, discount: float, rng) -> np.nda
 
 
 class Totals:
-    """Customers and tables of the context restaurants and of the root, after one sweep."""
+    """Customers and tables of the class restaurants and of the root, and the contexts' further tables, after one sweep.
 
-    def __init__(self, customers: np.ndarray, tables: np.ndarray, root_tables: float, words: int):
-        self.customers, self.tables, self.root_tables, self.words = customers, tables, root_tables, words
+    A context has one table for each of its different words and ``extra`` = (ctx ascending, tables) more.
+    """
+
+    def __init__(self, customers: np.ndarray, tables: np.ndarray, root_tables: float, words: int, extra: tuple[np.ndarray, np.ndarray]):
+        self.customers, self.tables, self.root_tables, self.words, self.extra = customers, tables, root_tables, words, extra
 
     def back_off(self, m: PitmanYor) -> np.ndarray:
-        """By context: the weight of the parent."""
+        """By class: the weight of the parent."""
         return (m.strength + m.discount * self.tables) / (m.strength + self.customers)
 
     def root(self, m: PitmanYor, customers, tables):
@@ -123,56 +327,98 @@ class Totals:
         h = 1 / (self.words + 1)
         return (customers - m.root_discount * tables + (m.root_strength + m.root_discount * self.root_tables) * h) / (m.root_strength + self.tables.sum())
 
+    def of_class(self, m: PitmanYor, cls, customers, tables, root):
+        """The probability in their classes of words with so many customers and tables there."""
+        return (customers - m.discount * tables) / (m.strength + self.customers[cls]) + self.back_off(m)[cls] * root
+
+    def further(self, contexts: np.ndarray) -> np.ndarray:
+        at, there = _find(self.extra[0], contexts)
+        return np.where(there, self.extra[1][at] if len(self.extra[1]) else 0, 0)
+
+
+class Seating(NamedTuple):
+    """Seating of a batch of words: by pair, by (word, class) and by word."""
+
+    tables: np.ndarray
+    word: np.ndarray
+    cls: np.ndarray
+    cls_customers: np.ndarray
+    cls_tables: np.ndarray
+    root_customers: np.ndarray
+    root_tables: np.ndarray
+
 
 def _sweeps(batch, totals: list[Totals], m: PitmanYor):
-    """Seating of one batch of words through all sweeps whose totals before are known: (cells, tables, root customers, root tables) each."""
-    cls_lists, n_lists = batch.column(1), batch.column(2)
-    sizes = np.diff(np.asarray(cls_lists.offsets))
-    cls, n = np.asarray(cls_lists.flatten()), np.asarray(n_lists.flatten()).astype(np.int64)
-    word = np.repeat(np.arange(len(sizes)), sizes)
-    first = zlib.crc32(batch.column(0)[0].as_py()) if batch.num_rows else 0
+    """Seating of one batch of words at first, one table each, and after each sweep whose totals before are known."""
+    words, sizes = batch.num_rows, _sizes(batch.column(1))
+    ctx, n, types = (np.asarray(batch.column(k).flatten()) for k in (1, 2, 3))
+    cell = np.repeat(np.arange(words), sizes) * CONTEXTS + classes(ctx)
+    of_cell = np.bincount(cell, minlength=words * CONTEXTS)
+    groups = np.flatnonzero(of_cell)
+    group = (np.cumsum(of_cell > 0) - 1)[cell]
+    word, cls = groups // CONTEXTS, groups % CONTEXTS
+    some = np.flatnonzero(n > 1)  # a customer alone has one table
+    some_group, some_ctx, some_n, some_types = group[some], ctx[some], n[some], types[some]
+    alone = of_cell[groups] - np.bincount(some_group, minlength=len(groups))
+    first = crc32(batch.column(0)[0].as_py()) if words else 0
     tables = np.ones(len(n), np.int64)
-    root_customers = np.bincount(word, tables, len(sizes)).astype(np.int64)
-    root_tables = np.ones(len(sizes), np.int64)
+    cls_customers, cls_tables = of_cell[groups], np.ones(len(groups), np.int64)
+    root_customers, root_tables = np.bincount(word, minlength=words), np.ones(words, np.int64)
+    yield Seating(tables, word, cls, cls_customers, cls_tables, root_customers, root_tables)
     for k, before in enumerate(totals):
         rng = np.random.default_rng((m.seed, k, first, len(n)))
-        p = before.root(m, root_customers, root_tables)
-        weight = (m.strength + m.discount * before.tables)[cls] * p[word]
-        tables = seat(n, weight, m.discount, rng)
-        root_customers = np.bincount(word, tables, len(sizes)).astype(np.int64)
+        root = before.root(m, root_customers, root_tables)[word]
+        own = before.of_class(m, cls, cls_customers, cls_tables, root)
+        weight = (m.word_strength + m.word_discount * (some_types + before.further(some_ctx))) * own[some_group]
+        found = seat(some_n, weight, m.word_discount, rng)
+        tables = np.ones(len(n), np.int64)
+        tables[some] = found
+        cls_customers = alone + np.bincount(some_group, found, len(groups)).astype(np.int64)
+        cls_tables = seat(cls_customers, (m.strength + m.discount * before.tables)[cls] * root, m.discount, rng)
+        root_customers = np.bincount(word, cls_tables, words).astype(np.int64)
         h = (m.root_strength + m.root_discount * before.root_tables) / (before.words + 1)
-        root_tables = seat(root_customers, np.full(len(sizes), h), m.root_discount, rng)
-        yield cls, n, word, tables, root_customers, root_tables
+        root_tables = seat(root_customers, np.full(words, h), m.root_discount, rng)
+        yield Seating(tables, word, cls, cls_customers, cls_tables, root_customers, root_tables)
 
 
 def sample(counts: DataFrame, words: int, m: PitmanYor) -> list[Totals]:
     """Totals before each sweep and after the last; each pass replays the sweeps before it."""
-    spark = counts.sparkSession
-    cells = counts.select(F.explode(F.arrays_zip("cls", "n")).alias("x")).groupBy("x.cls").agg(F.sum("x.n").alias("n"), F.count("*").alias("t"))
-    customers, tables = np.zeros(CONTEXTS), np.zeros(CONTEXTS)
-    for r in cells.collect():
-        customers[r["cls"]], tables[r["cls"]] = r["n"], r["t"]
-    totals = [Totals(customers, tables, float(words), words)]
-    for _ in range(m.sweeps):
-        known = spark.sparkContext.broadcast(totals)
+    totals: list[Totals] = []
+    for _ in range(m.sweeps + 1):
+        known = counts.sparkSession.sparkContext.broadcast(list(totals))
 
         def run(batches, known=known):
-            t, root = np.zeros(CONTEXTS, np.int64), 0
+            customers, tables, root = np.zeros(CONTEXTS, np.int64), np.zeros(CONTEXTS, np.int64), 0
+            ctx, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for batch in batches:
                 if batch.num_rows:
-                    *_, (cls, _, _, tables, _, root_tables) = _sweeps(batch, known.value, m)
-                    t += np.bincount(cls, tables, CONTEXTS).astype(np.int64)
-                    root += int(root_tables.sum())
-            yield pa.RecordBatch.from_pydict({"cls": pa.array(range(CONTEXTS + 1), pa.int32()), "t": pa.array([*t.tolist(), root], pa.int64())})
-
-        found = {r["cls"]: r["t"] for r in counts.mapInArrow(run, "cls int, t bigint").groupBy("cls").agg(F.sum("t").alias("t")).collect()}
-        tables = np.array([found.get(j, 0) for j in range(CONTEXTS)], float)
-        totals.append(Totals(customers, tables, float(found.get(CONTEXTS, 0)), words))
+                    *_, s = _sweeps(batch, known.value, m)
+                    customers += np.bincount(s.cls, s.cls_customers, CONTEXTS).astype(np.int64)
+                    tables += np.bincount(s.cls, s.cls_tables, CONTEXTS).astype(np.int64)
+                    root += int(s.root_tables.sum())
+                    further = np.flatnonzero(s.tables > 1)
+                    ctx.append(np.asarray(batch.column(1).flatten())[further])
+                    more.append(s.tables[further] - 1)
+            keys, at = np.unique(np.concatenate(ctx), return_inverse=True)
+            more = np.bincount(at, np.concatenate(more), len(keys)).astype(np.int64)
+            what = np.repeat([0, 1, 2, 3], [CONTEXTS, CONTEXTS, 1, len(keys)]).astype(np.int32)
+            key = np.concatenate((np.arange(CONTEXTS), np.arange(CONTEXTS), [0], keys)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(what), pa.array(key), pa.array(np.concatenate((customers, tables, [root], more)))], ["what", "key", "t"])
+
+        sums = counts.select("token", "ctx", "n", "types").mapInArrow(run, "what int, key bigint, t bigint").groupBy("what", "key").agg(F.sum("t").alias("t")).toArrow()
+        what, key, t = (np.array(sums.column(k).to_pylist(), np.int64) for k in range(3))
+        of_class = [np.zeros(CONTEXTS), np.zeros(CONTEXTS)]
+        for k in (0, 1):
+            of_class[k][key[what == k]] = t[what == k]
+        further = np.flatnonzero(what == 3)
+        further = further[np.argsort(key[further])]
+        totals.append(Totals(*of_class, float(t[what == 2].sum()), words, (key[further], t[further])))
     return totals
 
 
 def predictive(counts: DataFrame, totals: list[Totals], m: PitmanYor) -> DataFrame:
-    """(token, c, cls, p, p0): averaged probabilities in seen contexts, and the root's probability by kept sweep."""
+    """(token, c, cls, p, each, p0, ctx, own): probabilities in seen classes, averaged and by kept sweep, the root's by
+    kept sweep, and for every context the averaged customers less discounts."""
     known = counts.sparkSession.sparkContext.broadcast(totals)
 
     def run(batches):
@@ -180,22 +426,32 @@ def predictive(counts: DataFrame, totals: list[Totals], m: PitmanYor) -> DataFra
         for batch in batches:
             if not batch.num_rows:
                 continue
-            p, p0 = 0.0, []
-            for k, (cls, n, word, tables, rc, rt) in enumerate(_sweeps(batch, known.value[:-1], m)):
-                if k >= m.burn_in:
-                    own = after[k].root(m, rc, rt)
-                    p0.append(own)
-                    p = p + (n - m.discount * tables) / (m.strength + after[k].customers[cls]) + after[k].back_off(m)[cls] * own[word]
-            c = np.bincount(word, n, batch.num_rows).astype(np.int64)
-            each = np.array(p0).T
-            ends = pa.array((np.arange(batch.num_rows + 1) * each.shape[1]).astype(np.int32))
-            sizes = np.concatenate(([0], np.cumsum(np.diff(np.asarray(batch.column(1).offsets))))).astype(np.int32)
+            n = np.asarray(batch.column(2).flatten())
+            own, each, p0 = 0.0, [], []
+            for k, s in enumerate(_sweeps(batch, known.value[:-1], m)):
+                if k > m.burn_in:
+                    root = after[k - 1].root(m, s.root_customers, s.root_tables)
+                    p0.append(root)
+                    each.append(after[k - 1].of_class(m, s.cls, s.cls_customers, s.cls_tables, root[s.word]))
+                    own = own + n - m.word_discount * s.tables
+            sizes, of_word = _sizes(batch.column(1)), np.bincount(s.word, minlength=batch.num_rows)
+            c = np.bincount(np.repeat(np.arange(batch.num_rows), sizes), n, batch.num_rows).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(c), batch.column(1), pa.ListArray.from_arrays(pa.array(sizes), pa.array((p / len(p0)).astype(np.float32))), pa.ListArray.from_arrays(ends, pa.array(each.ravel().astype(np.float64)))],
-                ["token", "c", "cls", "p", "p0"],
+                [
+                    batch.column(0),
+                    pa.array(c),
+                    _lists(s.cls.astype(np.int32), of_word),
+                    _lists(np.mean(each, axis=0).astype(np.float32), of_word),
+                    _lists(np.array(each, np.float32).T.ravel(), of_word * len(each)),
+                    _lists(np.array(p0).T.ravel(), np.full(batch.num_rows, len(p0))),
+                    batch.column(1),
+                    _lists((own / len(p0)).astype(np.float32), sizes),
+                ],
+                ["token", "c", "cls", "p", "each", "p0", "ctx", "own"],
             )
 
-    return counts.mapInArrow(run, "token binary, c bigint, cls array<int>, p array<float>, p0 array<double>")
+    schema = "token binary, c bigint, cls array<int>, p array<float>, each array<float>, p0 array<double>, ctx array<bigint>, own array<float>"
+    return counts.select("token", "ctx", "n", "types").mapInArrow(run, schema)
 
 
 def _frequent(model: DataFrame, m: PitmanYor) -> int:
@@ -209,77 +465,294 @@ def _frequent(model: DataFrame, m: PitmanYor) -> int:
     return least if least is not None else 1 << 62
 
 
-def score_documents(docs: DataFrame, m: PitmanYor = PitmanYor(), folds: int = 7, held_fold: int = 2) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row."""
-    spark = docs.sparkSession
-    held = crc_remainder(F.col("doc_id"), folds) == held_fold
-    source = docs.select("doc_id", held.alias("held_out"), F.col("text").cast("binary").alias("text"))
-    counts = stored(count_tokens(source.where(~F.col("held_out"))))
-    whole = counts.agg(F.count("*").alias("v"), F.sum(F.aggregate("n", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("n")).first()
-    v, n = whole["v"], whole["n"] or 0
-    totals = sample(counts, v, m)
-    model = predictive(counts, totals, m)
+def _within(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each key in its own ascending range of ``values``, and whether it is there."""
+    lo, end = lo.copy(), hi
+    hi = hi.copy()
+    live = np.flatnonzero(lo < hi)
+    while len(live):
+        mid = (lo[live] + hi[live]) >> 1
+        less = values[mid] < keys[live]
+        lo[live[less]] = mid[less] + 1
+        hi[live[~less]] = mid[~less]
+        live = live[lo[live] < hi[live]]
+    there = lo < end
+    there[there] = values[lo[there]] == keys[there]
+    return lo, there
+
+
+def _thin(values: np.ndarray) -> tuple[int, bytes]:
+    """Whole numbers from 0 in as few bytes as they need, byte by byte, so that they compress."""
+    size = next(k for k in (1, 2, 4) if not len(values) or values.max() < 1 << 8 * k)
+    return size, np.ascontiguousarray(values.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T).tobytes()
+
+
+def _thick(thin: tuple[int, bytes]) -> np.ndarray:
+    size, data = thin
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(f"<u{size}").ravel().astype(np.int64)
+
+
+def _pack(*values) -> bytes:
+    data = pickle.dumps(values, protocol=5)
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes):
+    return pickle.loads(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd"))
+
+
+def _by_bucket(buckets: np.ndarray):
+    order = np.argsort(buckets, kind="stable")
+    starts, length = _runs(buckets[order])
+    for start, size in zip(starts.tolist(), length.tolist(), strict=True):
+        yield int(buckets[order[start]]), order[start : start + size]
+
+
+def _buckets_of(tokens: list[bytes], buckets: int) -> np.ndarray:
+    return np.fromiter((crc32(t) for t in tokens), np.int64, len(tokens)) % buckets
+
+
+def _take(values: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of some rows, one after another, and the size of each row."""
+    sizes = ends[rows + 1] - ends[rows]
+    at = np.repeat(ends[rows] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
+    return values[at], sizes
+
+
+def _ask(source: DataFrame, kind: str, buckets: int, flush: int = 400_000) -> DataFrame:
+    """Blocks of texts: rows of kind 1, by bucket the different tokens with their contexts, how often each occurs and in
+    which texts; and one row of kind 2 with the block's texts."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        number, block, ids, held = TaskContext.get().partitionId() << 24, Block(), [], []
+
+        def out():
+            words, contexts, keys = block.arrays()
+            text = np.repeat(np.arange(len(block.sizes)), block.sizes)
+            order = np.argsort(keys)
+            keys, text = keys[order], text[order]
+            starts, runs = _runs(keys)
+            pairs = keys[starts]
+            first = _runs(pairs >> 32)[0]
+            names = [words[k] for k in (pairs[first] >> 32).tolist()]
+            of_pairs, of_texts = np.append(first, len(pairs)), np.append(starts, len(keys))
+            before = pairs & 0xFFFFFFFF
+            for bucket, rows in _by_bucket(_buckets_of(names, buckets)):
+                mine, sizes = _take(np.arange(len(pairs)), of_pairs, rows)
+                own, at = np.unique(before[mine], return_inverse=True)
+                data = _pack([names[k] for k in rows.tolist()], _thin(sizes), contexts[own], _thin(at), _thin(runs[mine]), _thin(_take(text, of_texts, mine)[0]))
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((bucket, 1, number, data, None, None, None), fields, strict=True)], list(fields.names))
+            texts = (number % buckets, 2, number, None, ids, held, block.sizes)
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(texts, fields, strict=True)], list(fields.names))
+
+        fields = None
+        for batch in batches:
+            if fields is None:
+                fields = pa.schema(
+                    [("bucket", pa.int64()), ("kind", pa.int32()), ("block", pa.int64()), ("data", pa.binary()),
+                     ("ids", pa.list_(batch.column(0).type)), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64()))]
+                )
+            for doc_id, is_held, t in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                ids.append(doc_id.as_py())
+                held.append(is_held.as_py())
+                block.add(t.as_py())
+                if block.full(flush):
+                    yield from out()
+                    number, block, ids, held = number + 1, Block(), [], []
+        if ids:
+            yield from out()
+
+    return source.mapInArrow(run, f"bucket bigint, kind int, block bigint, data binary, ids array<{kind}>, held array<boolean>, sizes array<bigint>")
+
+
+def _packed(model: DataFrame, buckets: int) -> DataFrame:
+    """The model as rows of kind 0, by bucket."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def out():
+            whole = pa.Table.from_batches(held).combine_chunks()
+            names = whole.column("token").to_pylist()
+            flat = {k: np.asarray(whole.column(k).combine_chunks().flatten()) for k in ("cls", "each", "p0", "ctx", "own")}
+            ends = {k: np.concatenate(([0], np.cumsum(_sizes(whole.column(k))))) for k in flat}
+            c = np.asarray(whole.column("c"))
+            for bucket, rows in _by_bucket(_buckets_of(names, buckets)):
+                ctx, sizes = _take(flat["ctx"], ends["ctx"], rows)
+                own, at = np.unique(ctx, return_inverse=True)
+                cls, of_cls = _take(flat["cls"], ends["cls"], rows)
+                rest = [_take(flat[k], ends[k], rows)[0] for k in ("each", "p0", "own")]
+                data = _pack([names[k] for k in rows.tolist()], c[rows], _thin(of_cls), _thin(cls), _thin(sizes), own, _thin(at), *rest)
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([0], pa.int32()), pa.array([data], pa.binary())], ["bucket", "kind", "data"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size > 1 << 26:
+                yield from out()
+                held, size = [], 0
+        if held:
+            yield from out()
+
+    return model.select("token", "c", "cls", "each", "p0", "ctx", "own").mapInArrow(run, "bucket bigint, kind int, data binary")
+
+
+class _Model:
+    """The model's words of one bucket; the row after the last stands for unseen words."""
+
+    def __init__(self, parts: list, unseen: np.ndarray):
+        join = lambda k, kind=np.int64: np.concatenate([np.zeros(0, kind), *(p[k] for p in parts)])
+        parts = [(p[0], p[1], _thick(p[2]), _thick(p[3]), _thick(p[4]), p[5][_thick(p[6])], *p[7:]) for p in parts]
+        self.rows = {t: k for k, t in enumerate(t for p in parts for t in p[0])}
+        rows, kept = len(self.rows), len(unseen)
+        self.c = np.append(join(1).astype(float), 0.0)
+        sizes, self.ctx, self.own = join(4), join(5), join(8, np.float32)
+        self.ends = np.concatenate(([0], np.cumsum(sizes), [len(self.ctx)]))
+        self.slot = np.full((rows + 1) * CONTEXTS, -1, np.int32)
+        cls = join(3)
+        self.slot[np.repeat(np.arange(rows), join(2)) * CONTEXTS + cls] = np.arange(len(cls))
+        self.each = join(6, np.float32).astype(float).reshape(len(cls), kept)
+        self.p0 = np.vstack([join(7, np.float64).reshape(rows, kept), unseen[None, :]])
+
+
+def _answer(asked: DataFrame, model: DataFrame, totals: list[Totals], table, z: float, m: PitmanYor, kind: str, buckets: int) -> DataFrame:
+    """Rows of kind 1: sums of a block's texts; of kind 3: pairs whose context is not in ``table``; kind 2 as it comes."""
     kept = totals[1 + m.burn_in :]
-    weights = np.array([t.back_off(m) for t in kept])  # sweeps x contexts
+    weights = np.array([t.back_off(m) for t in kept])  # sweeps x classes
     unseen = np.array([t.root(m, 0, 0) for t in kept])
-    log_unseen = np.log10((weights * unseen[:, None]).mean(axis=0))
-    z = n + v + 1
-
-    sizes = counts.select(F.aggregate("n", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("c"))
-    least = _frequent(sizes, m)
-    table = model.where(F.col("c") >= least).toArrow()  # at most table_words rows
-    rows = {t: k for k, t in enumerate(table.column("token").to_pylist())}
-    p0 = np.array(table.column("p0").to_pylist()).reshape(len(rows), len(kept))
-    matrix = np.log10(np.maximum(p0 @ weights / len(kept), 1e-300)).astype(np.float32)
-    for k, (c, p) in enumerate(zip(table.column("cls").to_pylist(), table.column("p").to_pylist(), strict=True)):
-        matrix[k, c] = np.log10(p)
-    base = np.log10((np.array(table.column("c").to_pylist(), float) + 1) / z)
-    shared = spark.sparkContext.broadcast((rows, matrix, base))
+    shared = asked.sparkSession.sparkContext.broadcast((table[:3], kept, weights, unseen))
 
     def run(batches):
-        from pyspark import TaskContext
+        (frequent, customers, types), kept, weights, unseen = shared.value
+
+        def emit(columns, rows):
+            return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(rows, f.type) for f in fields], list(fields.names))
+
+        def one(block, what, docs, columns):
+            columns = {"docs": docs.astype(np.int16)} | columns
+            return emit({"block": pa.array([block]), "kind": pa.array([what])} | {k: _lists(v, np.array([len(v)])) for k, v in columns.items()}, 1)
+
+        def score(words, block, tokens, sizes, own, at, runs, text):
+            row = np.fromiter((words.rows.get(t, len(words.rows)) for t in tokens), np.int64, len(tokens))
+            row, ctx = np.repeat(row, _thick(sizes)), own[_thick(at)]
+            place, there = _within(words.ctx, words.ends[row], words.ends[row + 1], ctx)
+            x = np.zeros(len(ctx))
+            x[there] = words.own[place[there]]
+            cls = classes(ctx)
+            slot = words.slot[row * CONTEXTS + cls]
+            p = weights.T[cls] * words.p0[row]
+            p[slot >= 0] = words.each[slot[slot >= 0]]
+            y = p.mean(axis=1)
+            x += m.word_strength * y + m.word_discount * (np.array([t.further(own) for t in kept]).T[_thick(at)] * p).mean(axis=1)
+            place, there = (v[_thick(at)] for v in _find(frequent, own))
+            if len(frequent):
+                x = np.where(there, np.log10(np.maximum((x + m.word_discount * types[place] * y) / (m.word_strength + customers[place]), 1e-300)), x)
+            pair, text = np.repeat(np.arange(len(ctx)), _thick(runs)), _thick(text)
+            docs = np.flatnonzero(np.bincount(text))
+            sums = (np.bincount(text, v[pair])[docs] for v in (words.c[row] > 0, np.log10((words.c[row] + 1) / z), np.where(there, x, 0.0)))
+            yield one(block, 1, docs, dict(zip(("known", "base", "own"), sums, strict=True)))
+            beyond = np.flatnonzero(~there[pair])
+            if len(beyond):
+                pair = pair[beyond]
+                yield one(block, 3, text[beyond], {"ctx": ctx[pair], "x": x[pair], "y": y[pair]})
+
+        fields = None
+        bucket, parts, words = None, [], None
+        for batch in batches:
+            if fields is None:
+                fields = pa.schema(
+                    [("block", pa.int64()), ("kind", pa.int32()), ("docs", pa.list_(pa.int16())), ("known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())), ("own", pa.list_(pa.float32())),
+                     ("ctx", pa.list_(pa.int64())), ("x", pa.list_(pa.float32())), ("y", pa.list_(pa.float32())), ("ids", batch.schema.field("ids").type), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64()))]
+                )
+            texts = batch.filter(pc.equal(batch.column("kind"), 2))
+            if texts.num_rows:
+                yield emit({c: texts.column(c) for c in ("block", "kind", "ids", "held", "sizes")}, texts.num_rows)
+            # by bucket the model's rows come first
+            for of, what, block, data in zip(*(batch.column(c) for c in ("bucket", "kind", "block", "data")), strict=True):
+                if of.as_py() != bucket:
+                    bucket, parts, words = of.as_py(), [], None
+                if what.as_py() == 0:
+                    parts.append(_unpack(data.as_py()))
+                elif what.as_py() == 1:
+                    if words is None:
+                        words, parts = _Model(parts, unseen), []
+                    yield from score(words, block.as_py(), *_unpack(data.as_py()))
+
+    both = asked.unionByName(_packed(model, buckets), allowMissingColumns=True).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    schema = "block bigint, kind int, docs array<smallint>, known array<bigint>, base array<double>, own array<float>, ctx array<bigint>, x array<float>, y array<float>"
+    return both.mapInArrow(run, f"{schema}, ids array<{kind}>, held array<boolean>, sizes array<bigint>")
+
+
+def _collect(answers: DataFrame, n: int, kind: str) -> DataFrame:
+    """The rows of each block's texts with their sums."""
 
-        rows, matrix, base = shared.value
-        get, uid = rows.get, TaskContext.get().partitionId() << 40
-        for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
-                size, known, base_score, score, rare, rare_cls = [], [], [], [], [], []
-                for t in batch.column(2):
-                    tokens, contexts = tokens_of(t.as_py())
-                    at = np.fromiter((get(x, -1) for x in tokens), np.int64, len(tokens))
-                    cls = np.array(contexts)
-                    f = at >= 0
-                    size.append(len(tokens))
-                    known.append(int(f.sum()))
-                    base_score.append(float(base[at[f]].sum()))
-                    score.append(float(matrix[at[f], cls[f]].sum(dtype=np.float64)))
-                    others = np.flatnonzero(~f).tolist()
-                    rare.append([tokens[k] for k in others])
-                    rare_cls.append([contexts[k] for k in others])
-                ids = pa.array(range(uid, uid + batch.num_rows), pa.int64())
-                uid += batch.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [ids, batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(base_score, pa.float64()), pa.array(score, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(rare_cls, pa.list_(pa.int32()))],
-                    ["uid", "doc_id", "held_out", "n_tokens", "known", "base", "own", "rare", "rare_cls"],
-                )
+    def run(batches):
+        held: list = []
+
+        def out():
+            texts = next(r for r in held if r["kind"] == 2)
+            known, base, own = np.zeros(len(texts["sizes"]), np.int64), np.zeros(len(texts["sizes"])), np.zeros(len(texts["sizes"]))
+            for r in held:
+                if r["kind"] != 2:
+                    at = r["docs"]
+                    own[at] += r["own"]
+                    if r["kind"] == 1:
+                        known[at] += r["known"]
+                        base[at] += r["base"]
+            train = np.full(len(own), n, np.int64)
+            return pa.RecordBatch.from_arrays(
+                [texts["ids"], texts["held"], texts["sizes"], pa.array(known), pa.array(train), pa.array(base), pa.array(own)],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+
+        for batch in batches:
+            blocks, kinds = batch.column("block").to_pylist(), batch.column("kind").to_pylist()
+            for k in range(batch.num_rows):
+                if held and held[-1]["block"] != blocks[k]:
+                    yield out()
+                    held.clear()
+                value = lambda c, k=k: batch.column(c)[k].values
+                row = {"block": blocks[k], "kind": kinds[k]}
+                if kinds[k] == 2:
+                    row |= {c: value(c) for c in ("ids", "held", "sizes")}
+                else:
+                    row |= {c: np.asarray(value(c)) for c in (("docs", "known", "base", "own") if kinds[k] == 1 else ("docs", "own"))}
+                held.append(row)
+        if held:
+            yield out()
+
+    sorted_ = answers.repartition("block").sortWithinPartitions("block")
+    return sorted_.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
+
+def score_documents(docs: DataFrame, m: PitmanYor = PitmanYor(), folds: int = 7, held_fold: int = 2) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row."""
+    held = crc_remainder(F.col("doc_id"), folds) == held_fold
+    source = docs.select("doc_id", held.alias("held_out"), F.col("text").cast("binary").alias("text"))
     kind = dict(source.dtypes)["doc_id"]
-    local = stored(source.mapInArrow(run, f"uid bigint, doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, own double, rare array<binary>, rare_cls array<int>"))
-    zipped = local.select("uid", F.explode(F.arrays_zip("rare", "rare_cls")).alias("x")).select("uid", F.col("x.rare").alias("token"), F.col("x.rare_cls").alias("context"))
-    joined = zipped.join(model.where(F.col("c") < least), "token", "left")
-    of_context = lambda values: F.array(*(F.lit(float(x)) for x in values))[F.col("context")]
-    place = F.array_position("cls", F.col("context")).cast("int")
-    new_context = sum((of_context(weights[s]) * F.col("p0")[s] for s in range(len(kept))), F.lit(0.0)) / len(kept)
-    p = F.when(place > 0, F.get("p", place - 1).cast("double")).otherwise(new_context)
-    sums = joined.groupBy("uid").agg(
-        F.count("c").alias("more_known"),
-        F.sum(F.log10((F.coalesce("c", F.lit(0)) + 1) / float(z))).alias("more_base"),
-        F.sum(F.when(F.col("c").isNull(), of_context(log_unseen)).otherwise(F.log10(p))).alias("more_own"),
-    )
-    all_ = join_checked(local.drop("rare", "rare_cls"), durable(sums), "uid", "left")
-    add = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    return all_.select("doc_id", "held_out", "n_tokens", add("known", "more_known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), add("base", "more_base").alias("base_score"), add("own", "more_own").alias("score"))
+    pairs = stored(count_pairs(source.where(~F.col("held_out"))))
+    contexts = durable(contexts_of(pairs))
+    table = frequent_contexts(contexts, m)
+    counts = stored(with_types(pairs, contexts, table))
+    _drop(pairs)
+    v, whole = counts.count(), contexts.agg(F.sum("c").alias("n"), F.sum("types").alias("pairs")).first()
+    n = whole["n"] or 0
+    totals = sample(counts, v, m)
+    buckets = max(12, (whole["pairs"] or 0) // 1_000_000)  # a bucket's pairs are held at once
+    answers = stored(_answer(_ask(source, kind, buckets), predictive(counts, totals, m), totals, table, float(n + v + 1), m, kind, buckets))
+    _drop(counts)
+    zipped = answers.where("kind = 3").select("block", F.explode(F.arrays_zip("docs", "ctx", "x", "y")).alias("z")).select("block", "z.*")
+    least = table[3]
+    joined = zipped.join(contexts.where(F.col("c") < least), "ctx", "left")
+    # an unlearned context leaves all to its class
+    p = F.when(F.col("c").isNull(), F.col("y")).otherwise((F.col("x") + m.word_discount * F.col("types") * F.col("y")) / (m.word_strength + F.col("c")))
+    by_text = joined.groupBy("block", "docs").agg(F.sum(F.log10(F.greatest(p, F.lit(1e-300)))).cast("float").alias("own"))
+    more = by_text.groupBy("block").agg(F.collect_list(F.struct("docs", "own")).alias("r")).select("block", F.lit(3).alias("kind"), F.col("r.docs").alias("docs"), F.col("r.own").alias("own"))
+    whole = answers.where("kind < 3").drop("ctx", "x", "y").unionByName(more, allowMissingColumns=True)
+    return _collect(whole, n, kind)
 
 
 def perplexity(scores: DataFrame) -> DataFrame:

@@ -404,6 +404,45 @@ def test_probabilities_sum_to_one(docs):
         assert abs(total - 1) < 1e-4
 
 
+def test_scores_by_the_word_before(spark, monkeypatch):
+    rng = random.Random(3)
+    words = ["ta", "ma", "ka", "on", "in", "un"]  # contexts of one class are told apart
+    texts = [" ".join(w for _ in range(rng.randint(1, 6)) for w in rng.choice([["ta", "on"], ["ma", "in"], ["ka", rng.choice(words)], [f"w{rng.randint(0, 40)}a", "un"]])) for _ in range(300)]
+    docs = spark.createDataFrame([*enumerate(texts), *((k, t) for k, t in ((1002, "ta on"), (1003, "ta in"), (1004, "never on")))], "doc_id long, text string")
+    tokens = {r["doc_id"]: [*r["text"].split(), "\n"] for r in docs.collect()}
+    train = [t for k, t in tokens.items() if zlib.crc32(str(k).encode()) % 7 != 2]
+    pairs = Counter((u, w) for t in train for u, w in zip(["", *t], t, strict=False))
+    customers, types = Counter(), Counter(u for u, _ in pairs)
+    for (u, _), n in pairs.items():
+        customers[u] += n
+    real, held = pitman_yor.predictive, {}
+    monkeypatch.setattr(pitman_yor, "_drop", lambda df: None)
+    monkeypatch.setattr(pitman_yor, "predictive", lambda counts, totals, m: held.update(counts=counts, totals=totals) or real(counts, totals, m))
+    for table_words in (0, 5, 1000):
+        m = pitman_yor.PitmanYor(table_words=table_words)
+        got = {r["doc_id"]: r["score"] for r in pitman_yor.score_documents(docs, m).collect()}
+        model, kept = {bytes(r["token"]).decode(): r for r in real(held["counts"], held["totals"], m).collect()}, held["totals"][1 + m.burn_in :]
+        assert {(u, w) for w, r in model.items() for u in {u for u, _ in pairs} if pitman_yor.context_id(u.encode()) in r["ctx"]} == set(pairs)
+
+        def p(u, w, model=model, kept=kept, m=m):
+            ctx, r, all_ = pitman_yor.context_id(u.encode()), model.get(w), []
+            cls = pitman_yor.START if u == "" else u.encode()[-1] & 31
+            for s, t in enumerate(kept):
+                above = t.back_off(m)[cls] * (r["p0"][s] if r else t.root(m, 0, 0))
+                if r and cls in r["cls"]:
+                    above = r["each"][r["cls"].index(cls) * len(kept) + s]
+                tables = types[u] + int(t.further(np.array([ctx]))[0])
+                all_.append((m.word_strength + m.word_discount * tables) / (m.word_strength + customers[u]) * above)
+            own = r["own"][r["ctx"].index(ctx)] if r and ctx in r["ctx"] else 0.0
+            return own / (m.word_strength + customers[u]) + np.mean(all_)
+
+        for u in ("", "ta", "ka", "never"):
+            assert abs(sum(p(u, w) for w in model) + p(u, "no such word") - 1) < 1e-4
+        for k, t in tokens.items():
+            assert math.isclose(got[k], sum(math.log10(p(u, w)) for u, w in zip(["", *t], t, strict=False)), rel_tol=1e-4)
+        assert p("ta", "on") > 10 * p("ta", "in") and p("ma", "in") > 10 * p("ma", "on")
+
+
 def test_held_out_perplexity_beats_the_base(spark):
     rows = pitman_yor.score_documents(read(spark, "/root/testdata/sf0.01", "documents")).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert rows["s"] > rows["b"]
