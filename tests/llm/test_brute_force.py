@@ -8,6 +8,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -448,6 +449,35 @@ def test_held_out_perplexity_beats_the_base(spark):
     assert rows["s"] > rows["b"]
 
 
+def test_blocks_hold_every_row_within_their_bounds(monkeypatch):
+    monkeypatch.setattr(pitman_yor, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(pitman_yor, "BLOCK_DOCS", 8)
+    rng = random.Random(4)
+    texts = [None if k % 9 == 0 else b" Ab\x0bc  " * rng.choice([0, 1, 3, 40]) for k in range(200)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[k : k + 30], pa.binary())], ["text"]) for k in range(0, 200, 30)]
+    tables = [t.column(0).to_pylist() for t in pitman_yor._blocks(batches)]
+    assert [x for t in tables for x in t] == texts
+    assert all(len(t) == 1 or (len(t) <= 8 and sum(len(x or b"") for x in t) <= 100) for t in tables)
+    for t in tables:
+        b = pitman_yor.block_of(pa.array(t, pa.binary()), 5)
+        words, mask = [*b.words.to_pylist(), b""], (1 << b.bits) - 1
+        got = Counter((words[p >> b.bits], words[p & mask], k) for j, p in enumerate(b.pairs.tolist()) for k in b.text[b.ends[j] : b.ends[j + 1]].tolist())
+        tokens = [[*(x or b"").lower().split(), b"\n"] for x in t]
+        assert got == Counter((w, u, k) for k, ws in enumerate(tokens) for u, w in zip([b"", *ws], ws, strict=False))
+        assert b.sizes.tolist() == [len(ws) for ws in tokens]
+
+
+def test_words_of_contexts_are_the_same_sent_or_joined(docs):
+    pairs = pitman_yor.count_pairs(docs.select(F.col("text").cast("binary").alias("text"))).persist()
+    contexts = pitman_yor.contexts_of(pairs).persist()
+    table = pitman_yor.frequent_contexts(contexts, pitman_yor.PitmanYor(table_words=5))
+    types = {r["ctx"]: r["types"] for r in contexts.collect()}
+    for max_rows in (0, 1_000_000):
+        for r in pitman_yor.with_types(pairs, contexts, table, max_rows).collect():
+            ctx, n, got = (np.frombuffer(r[c], np.int64).tolist() for c in ("ctx", "n", "types"))
+            assert got == [types[u] for u, k in zip(ctx, n, strict=True) if k > 1]
+
+
 def test_seating_matches_one_by_one():
     rng = np.random.default_rng(1)
     c = np.full(4000, 20)
