@@ -361,6 +361,40 @@ def test_secrets(spark):
     assert {r.k: (bytes(r.secret).decode(), r.verified) for r in back} == {1: ("secret one", True), 2: ("two", True)}
 
 
+def _secret_rows(spark):
+    r = random.Random(6)
+    rows = [(k, r.randbytes(r.randrange(1, 40))) for k in range(200)]
+    return spark.createDataFrame(rows, "k int, s binary").coalesce(1), dict(rows)
+
+
+def test_bytewise_shares_are_made_and_combined_in_batches(spark, monkeypatch):
+    df, want = _secret_rows(spark)
+    shares = secrets.split_gf256_table(df, "k", "s", 3, 4, seed=4)
+    assert shares.select(F.spark_partition_id()).distinct().count() > 1  # one small file, many tasks
+    got = {}
+    for r in shares.collect():
+        got.setdefault(r.k, []).append(bytes(r.share))
+    assert got == {k: secrets.split_gf256(s, 3, 4, f"4:{k}") for k, s in want.items()}
+    back = secrets.combine_gf256_table(shares, "k")
+    assert {r.k: bytes(r.data) for r in back.collect()} == want
+    assert "FlatMapGroups" not in back._jdf.queryExecution().toString()  # no call of Python for each key
+    # lists of unlike numbers of shares, and the product of every two bytes by hand
+    parts = [secrets.split_gf256(s, 3, 9)[: 3 + k % 5] for k, s in want.items()]
+    assert secrets.combine_gf256_many(parts) == list(want.values())
+    for a, b in ((0, 7), (7, 0), (0x57, 0x83), (0x53, 0xCA), (255, 255)):
+        product = 0
+        for bit in range(8):
+            product ^= a << bit if b >> bit & 1 else 0
+        for bit in range(14, 7, -1):
+            product ^= 0x11B << bit - 8 if product >> bit & 1 else 0
+        assert secrets._TIMES[a, b] == product
+    for bad in ([b"ab"], [b"ab", b"abc"], [b"ab", b"cb"], [b"a\0", b"bc"], [b"a", b"b"]):
+        with pytest.raises(secrets.ShareError):
+            secrets.combine_gf256_many([parts[0], bad])
+    monkeypatch.setattr(secrets, "_TOGETHER", 50)
+    assert list(secrets._runs([20, 30, 60, 10, 40, 1])) == [(0, 2), (2, 3), (3, 5), (5, 6)] and list(secrets._runs([])) == []
+
+
 def test_adaptive_cache(spark):
     gone = []
     c = cachesim.AdaptiveCache(3, on_evict=lambda k, v: gone.append(k))
