@@ -395,6 +395,29 @@ def test_bytewise_shares_are_made_and_combined_in_batches(spark, monkeypatch):
     assert list(secrets._runs([20, 30, 60, 10, 40, 1])) == [(0, 2), (2, 3), (3, 5), (5, 6)] and list(secrets._runs([])) == []
 
 
+def test_shares_of_numbers_are_combined_in_batches(spark):
+    df, want = _secret_rows(spark)
+    short = df.where(F.length("s") <= 31)
+    shares = secrets.split_table(short, "k", "s", 3, 5, seed=1)
+    parts = secrets.split_bytes_table(df, "k", "s", 2, 4, seed=3)
+    back, long = secrets.combine_table(shares, "k"), secrets.combine_bytes_table(parts.where("x <> 2"), "k")
+    for made in (shares, parts):
+        assert made.select(F.spark_partition_id()).distinct().count() > 1
+    for found in (back, long):
+        assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    assert {r.k: bytes(r.secret) for r in back.where("verified").collect()} == {k: s for k, s in want.items() if len(s) <= 31}
+    assert {r.k: bytes(r.data) for r in long.collect()} == want
+    # places are weighed once for all secrets that share them
+    secrets._weights.cache_clear()
+    for s in (b"one", b"two", b"three"):
+        assert secrets.verify(secrets.split(s, 3, 5), 3)
+    assert secrets._weights.cache_info().misses == 2
+    # a share that is missing is an error
+    lost = shares.withColumn("share", F.when(F.col("k") != 7, F.col("share")))
+    with pytest.raises(Exception, match="not a share of version 1"):
+        secrets.combine_table(lost, "k").collect()
+
+
 def test_adaptive_cache(spark):
     gone = []
     c = cachesim.AdaptiveCache(3, on_evict=lambda k, v: gone.append(k))
