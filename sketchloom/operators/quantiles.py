@@ -11,7 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,17 +19,73 @@ def _keys(keys):
     return list(keys or [])
 
 
+#: Parts that a range of values is cut into, how often, and the most rows that are sent to all tasks.
+PARTS, ROUNDS, FEW = 1 << 14, 2, 200_000
+
+
+def _nearby(targets: DataFrame) -> DataFrame:
+    """Few rows as a table that is sent to all tasks, made once; more stay as they are and are joined."""
+    rows = targets.limit(FEW + 1).toArrow()
+    return F.broadcast(targets.sparkSession.createDataFrame(rows, targets.schema)) if rows.num_rows <= FEW else targets
+
+
+def _extent() -> list:
+    """How many values there are, the least and the largest of all and of the finite ones."""
+    v = F.col("_v")
+    x = v.cast("double")
+    finite = F.when(~F.isnan(x) & (F.abs(x) < math.inf), x)
+    return [F.count(v).alias("_n"), F.min(v).alias("_low"), F.max(v).alias("_high"), F.min(finite).alias("_a"), F.max(finite).alias("_b")]
+
+
+def _same(keys: list[str]):
+    return reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_t{c}")) for c in keys], F.lit(True))
+
+
+def _within(rows: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows in a target's range, once for each such target."""
+    near = targets.withColumnsRenamed({c: f"_t{c}" for c in keys})
+    return rows.join(near, _same(keys) & F.col("_v").between(F.col("_low"), F.col("_high"))).drop(*(f"_t{c}" for c in keys))
+
+
+def _cut(rows: DataFrame, targets: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """(by, part, extent, upto): every range cut into parts, and the values counted up to each part's end."""
+    v, a, b = (F.col(c).cast("double") * 0.5 for c in ("_v", "_a", "_b"))  # halves, so that no difference overflows
+    share = F.coalesce(F.try_divide(v - a, b - a), F.lit(0.0))
+    # it never falls as the value grows; infinite values and NaN are in the outer parts
+    part = F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * (PARTS - 1))
+    counts = _within(rows, targets, keys).groupBy(*by, part.alias("_part")).agg(*_extent())
+    return counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by).orderBy("_part")))
+
+
+def _hit(counts: DataFrame) -> DataFrame:
+    """The part, or value, that each target's rank falls into; the rank is then one within it."""
+    before = F.col("_upto") - F.col("_n")
+    return counts.where((F.col("_rank") > before) & (F.col("_rank") <= F.col("_upto"))).withColumn("_rank", F.col("_rank") - before)
+
+
 def quantile(df: DataFrame, value: str, qs: list[float], keys=None) -> DataFrame:
     """(keys, q, quantile): the least value with a cumulative share of at least q; q is clamped to [0, 1].
 
-    Values are counted first, so a group of any size is one row for each distinct value.
+    Exact, and no task holds a group: the range of its values is cut into parts, which are counted; a quantile's part
+    is known from the counts and is cut again; the values of the part that is left are counted one by one.
     """
-    qs = [min(1.0, max(0.0, q)) for q in qs]
-    k = _keys(keys)
-    each = [F.expr(f"percentile_disc({q!r}D) within group (order by `{value}`)").alias(f"_{j}") for j, q in enumerate(qs)]
-    wide = df.groupBy(*k).agg(*each)
-    pairs = F.array(*(F.struct(F.lit(q).alias("q"), F.col(f"_{j}").alias("quantile")) for j, q in enumerate(qs)))
-    return wide.select(*k, F.explode(pairs).alias("x")).select(*k, "x.q", "x.quantile")
+    qs = [min(1.0, max(0.0, float(q))) for q in qs]
+    k, kind = _keys(keys), df.select(F.expr(f"percentile_disc(0.5D) within group (order by `{value}`)")).dtypes[0][1]
+    names = [f"_k{j}" for j in range(len(k))]
+    rows = df.select(*(F.col(c).alias(n) for c, n in zip(k, names, strict=True)), F.col(value).cast(kind).alias("_v"))
+    target, extent = [*names, "_q", "_rank"], ["_low", "_high", "_a", "_b"]
+    groups = _nearby(rows.groupBy(*names).agg(*_extent()))
+    # the first cut is the same for all quantiles of a group
+    counts = _cut(rows, groups.select(*names, *extent), names, names).withColumn("_all", F.sum("_n").over(Window.partitionBy(*names)))
+    each = counts.withColumn("_q", F.explode(F.array(*map(F.lit, sorted(set(qs)))))).withColumn("_rank", F.greatest(F.lit(1), F.ceil(F.col("_q") * F.col("_all"))))
+    targets = _nearby(_hit(each).select(*target, *extent))
+    for _ in range(ROUNDS - 1):
+        targets = _nearby(_hit(_cut(rows, targets, names, target)).select(*target, *extent))
+    left = _within(rows, targets, names).groupBy(*target, "_v").agg(F.count("*").alias("_n"))
+    found = _hit(left.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*target).orderBy("_v")))).select(*names, "_q", "_v")
+    asked = groups.select(*names, F.explode(F.array(*map(F.lit, qs))).alias("q"))  # a group without values has nulls
+    both = asked.join(found.withColumnsRenamed({c: f"_t{c}" for c in names}), _same(names) & (F.col("q") == F.col("_q")), "left")
+    return both.select(*(F.col(n).alias(c) for c, n in zip(k, names, strict=True)), "q", F.col("_v").alias("quantile"))
 
 
 def approximate_quantile(df: DataFrame, value: str, qs: list[float], keys=None, accuracy: int = 10_000) -> DataFrame:

@@ -97,6 +97,33 @@ def test_quantiles(spark):
     assert quantiles.quantile(df.limit(0), "v", [0.5]).first().quantile is None
 
 
+@pytest.mark.parametrize("few", [200_000, 2])
+def test_quantiles_equal_those_of_whole_groups(spark, monkeypatch, few):
+    monkeypatch.setattr(quantiles, "PARTS", 5)
+    monkeypatch.setattr(quantiles, "FEW", few)
+    r = random.Random(2)
+    odd = [math.inf, -math.inf, math.nan, None, 0.0, -0.0, 1.7e308, -1.7e308, 5e-324]
+    rows = [("odd", at(1), r.choice(odd), r.randrange(9)) for _ in range(60)] + [(None, at(j % 2), r.choice([r.gauss(0, 1), 7.25, r.paretovariate(0.3)]), r.randrange(99)) for j in range(301)]
+    rows += [("one", at(3), 4.5, 1), ("none", at(3), None, None), ("nan", None, math.nan, 2), ("low", None, -math.inf, 2)]
+    df = spark.createDataFrame(rows, "k string, t timestamp, v double, n int").withColumn("d", F.col("n").cast("decimal(10,2)")).repartition(4).persist()
+    qs = [0.5, 0, 0.01, 0.95, 0.99, 1, 3, 1 / 3]
+    for value, keys in (("v", ["k", "t"]), ("n", ["k"]), ("d", ["k"]), ("v", [])):
+        got = quantiles.quantile(df, value, qs, keys)
+        wide = df.groupBy(*keys).agg(*(F.expr(f"percentile_disc({min(1.0, float(q))!r}D) within group (order by {value})").alias(f"_{j}") for j, q in enumerate(qs)))
+        want = sorted(repr((*(w[c] for c in keys), min(1.0, float(q)), w[f"_{j}"])).replace("-0.0", "0.0") for w in wide.collect() for j, q in enumerate(qs))
+        assert sorted(repr(tuple(x)).replace("-0.0", "0.0") for x in got.collect()) == want
+        assert got.schema["quantile"].dataType == wide.schema["_0"].dataType
+    assert "percentile" not in quantiles.quantile(df, "v", qs, ["k"])._jdf.queryExecution().toString()
+
+
+def test_ranks_of_quantiles_at_all_sizes(spark):
+    df = spark.range(1, 130).withColumnRenamed("id", "n").withColumn("v", F.explode(F.sequence(F.lit(1), "n"))).persist()
+    qs = [0.01, 0.07, 0.1, 0.29, 0.5, 0.57, 0.9, 0.95, 0.99]
+    got = {(x["n"], x["q"]): x["quantile"] for x in quantiles.quantile(df, "v", qs, ["n"]).collect()}
+    wide = df.groupBy("n").agg(*(F.expr(f"percentile_disc({q!r}D) within group (order by v)").alias(f"_{j}") for j, q in enumerate(qs)))
+    assert got == {(w["n"], q): w[f"_{j}"] for w in wide.collect() for j, q in enumerate(qs)}
+
+
 def test_heavy_hitters(spark):
     s = heavy_hitters.SpaceSaving(3)
     for x in ["common"] * 10 + ["rare1", "rare2", "new"]:
