@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import heapq
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decay import decayed_sum
+from .ordered import fold_to_rows
 
 
 def top(df: DataFrame, item: str, n: int) -> DataFrame:
@@ -53,18 +53,14 @@ class SpaceSaving:
 
 
 def space_saving(df: DataFrame, item: str, order: list[str], capacity: int, keys: list[str]) -> DataFrame:
-    """(keys, item, cnt, err): the summary of each key's items in their order."""
-    kinds = dict(df.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = SpaceSaving(capacity)
-        for x in pdf.sort_values(order)["item"]:
-            s.add(x)
-        rows = [(*(pdf[c].iloc[0] for c in keys), x, c, e) for x, (c, e) in s.counts.items()]
-        return pd.DataFrame(rows, columns=[*keys, "item", "cnt", "err"])
-
-    rows = df.where(F.col(item).isNotNull()).select(*keys, *order, F.col(item).cast("string").alias("item"))
-    return rows.groupBy(*keys).applyInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), "item string, cnt bigint, err bigint"]))
+    """(keys, item, cnt, err): the summary of each key's items in their order, nulls last; rows are streamed."""
+
+    def counters(s: SpaceSaving) -> list[tuple[str, int, int]]:
+        return [(x, c, e) for x, (c, e) in s.counts.items()]
+
+    rows = df.where(F.col(item).isNotNull()).select(*keys, *order, F.col(item).cast("string").alias("_item"))
+    by = [F.col(c).asc_nulls_last() for c in order]
+    return fold_to_rows(rows, keys, by, "_item", lambda: SpaceSaving(capacity), SpaceSaving.add, counters, "item string, cnt bigint, err bigint")
 
 
 def count_of(counters: DataFrame, probes: DataFrame, item: str) -> DataFrame:

@@ -533,6 +533,28 @@ def test_summaries_equal_a_plain_version(spark):
     assert all(x in got for x, n in exact.items() if n > len(items) / 10)
 
 
+def test_summaries_are_streamed(spark):
+    r = random.Random(8)
+    rows = [(r.choice(["a", "b", None]), r.choice([0.5, math.nan, None]), r.choice([*range(300), None]), j, r.choice([*range(40), None])) for j in range(900)]
+    df = spark.createDataFrame(rows, "k string, f double, t int, id int, item int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = heavy_hitters.space_saving(df, "item", ["t", "id"], 5, ["k", "f"])
+        got = sorted(repr(tuple(x)) for x in found.collect())
+        one = {(x["item"], x["cnt"], x["err"]) for x in heavy_hitters.space_saving(df, "item", ["t", "id"], 5, []).collect()}
+        assert heavy_hitters.space_saving(df.limit(0), "item", ["t", "id"], 5, ["k"]).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plain, whole = {}, heavy_hitters.SpaceSaving(5)
+    for k, f, _, _, item in sorted(rows, key=lambda x: (x[2] is None, x[2] or 0, x[3])):
+        if item is not None:
+            plain.setdefault((k, repr(f)), (k, f, heavy_hitters.SpaceSaving(5)))[2].add(str(item))
+            whole.add(str(item))
+    assert got == sorted(repr((k, f, x, c, e)) for k, f, s in plain.values() for x, (c, e) in s.counts.items())
+    assert one == {(x, c, e) for x, (c, e) in whole.counts.items()}
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()  # no key's rows are held
+
+
 def test_every_two_shares_of_the_query_give_the_secret(spark, sf):
     from itertools import combinations
 
