@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,12 +28,35 @@ def padded(tokens: Column, order: int) -> Column:
     return F.concat(F.array_repeat(F.lit(FIRST), order), tokens, F.array_repeat(F.lit(LAST), order))
 
 
-def chain(df: DataFrame, tokens: str, order: int = 1) -> DataFrame:
-    """(current, next, freq): transitions of all token arrays, with start and end padding."""
+def _state(order: int) -> list[str]:
+    return [f"_c{j}" for j in range(order)]
+
+
+def _counted(df: DataFrame, tokens: str, order: int) -> DataFrame:
+    """(_c0, ..., next, freq): ``chain`` with a column for each token of the state.
+
+    Only places are exploded and plain columns grouped: an array for each place would be built, hashed and shuffled.
+    """
     if order < 1:
         raise ValueError("order must be positive")
-    rows = df.where(F.col(tokens).isNotNull()).select(F.explode(pairs(padded(F.col(tokens), order), order)).alias("p"))
-    return rows.groupBy("p.current", "p.next").agg(F.count("*").alias("freq"))
+    rows = df.where(F.col(tokens).isNotNull()).select(padded(F.col(tokens), order).alias("_t"))
+    at = rows.select("_t", F.explode(F.sequence(F.lit(0), F.size("_t") - order - 1)).alias("_i"))
+    state = [F.get("_t", F.col("_i") + j).alias(c) for j, c in enumerate(_state(order))]
+    return at.select(*state, F.get("_t", F.col("_i") + order).alias("next")).groupBy(*_state(order), "next").agg(F.count("*").alias("freq"))
+
+
+def chain(df: DataFrame, tokens: str, order: int = 1) -> DataFrame:
+    """(current, next, freq): transitions of all token arrays, with start and end padding."""
+    return _counted(df, tokens, order).select(F.array(*_state(order)).alias("current"), "next", "freq")
+
+
+def chain_probabilities(df: DataFrame, tokens: str, order: int = 1) -> DataFrame:
+    """``probabilities`` of the ``chain``, without arrays until the end and without sorting the edges."""
+    edges = _counted(df, tokens, order)
+    names = [f"_t{c}" for c in _state(order)]
+    totals = edges.groupBy(*(F.col(c).alias(n) for c, n in zip(_state(order), names, strict=True))).agg(F.sum("freq").alias("total")).hint("shuffle_hash")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(_state(order), names, strict=True)])
+    return edges.join(totals, same).select(F.array(*_state(order)).alias("current"), "next", "freq", (F.col("freq") / F.col("total")).alias("p"))
 
 
 def characters(text: Column) -> Column:

@@ -131,7 +131,7 @@ e AS (SELECT c AS current, n AS next, count(*) AS freq FROM (SELECT unnest(t[1:l
 SELECT [current] AS current, next, freq, round(freq / sum(freq) OVER (PARTITION BY current), 9) AS p FROM e""")
 def mk_4_probability(spark, sf):
     words = load(spark, sf, "documents").select(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "").alias("t"))
-    return markov.probabilities(markov.chain(words, "t", 1)).withColumn("p", F.round("p", 9))
+    return markov.chain_probabilities(words, "t", 1).withColumn("p", F.round("p", 9))
 
 
 @query()

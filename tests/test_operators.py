@@ -238,6 +238,29 @@ def test_markov(spark):
     assert spark.createDataFrame([("né",)], "s string").select(markov.characters(F.col("s")).alias("c")).first().c == ["n", "é"]
 
 
+def test_chain_probabilities_equal_a_plain_version(spark):
+    r = random.Random(3)
+    texts = [[r.choice(["a", "b", "c", "", "^", None]) for _ in range(r.randrange(7))] for _ in range(80)] + [None]
+    df = spark.createDataFrame([(t,) for t in texts], "t array<string>")
+    for order in (1, 2, 3):
+        want = Counter()
+        for t in texts:
+            padded = ["^"] * order + t + ["$"] * order if t is not None else []
+            want.update((tuple(padded[i : i + order]), padded[i + order]) for i in range(len(padded) - order))
+        total = Counter()
+        for (state, _), n in want.items():
+            total[state] += n
+        found = markov.chain_probabilities(df, "t", order)
+        got = {(tuple(x.current), x.next): (x.freq, x.p) for x in found.collect()}
+        assert got == {k: (n, n / total[k[0]]) for k, n in want.items()}
+        assert got == {(tuple(x.current), x.next): (x.freq, x.p) for x in markov.probabilities(markov.chain(df, "t", order)).collect()}
+        # edges are neither sorted for the join nor grouped by arrays
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning(current" not in plan and "hashpartitioning(p#" not in plan
+    with pytest.raises(ValueError):
+        markov.chain_probabilities(df, "t", 0)
+
+
 def test_chunks_cover_the_data(spark, tmp_path):
     data = random.Random(1).randbytes(200_000)
     c = chunking.Chunking(256, 1024, 8192)
