@@ -6,6 +6,8 @@ replayed key by key; the bound on the number of keys is global and needs one ord
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,22 +23,42 @@ class FixedWindow:
         self.window = window if window > 0 else WINDOW
         self.max_keys = None if max_keys is None else max_keys if max_keys > 0 else MAX_KEYS
         self.keys: dict = {}
+        self._ends: list[tuple] = []  # a heap of (end, key's text, age of the key, key); old ends of a key stay until they are met
+        self._age = 0
 
     def _entry(self, key, now: float) -> list:
         e = self.keys.get(key)
         if e is None:
             if self.max_keys and len(self.keys) >= self.max_keys:
                 self._evict(now)
-            e = self.keys[key] = [0, False, now + self.window]
+            self._age += 1
+            e = self.keys[key] = [0, False, now + self.window, self._age]
         elif now > e[2]:  # the end itself still belongs to the window
-            e[:] = [0, False, now + self.window]
+            e[:3] = [0, False, now + self.window]
+        else:
+            return e
+        if self.max_keys:
+            heapq.heappush(self._ends, (e[2], str(key), e[3], key))
+            if len(self._ends) > 2 * self.max_keys + 16:
+                self._ends = [(x[2], str(k), x[3], k) for k, x in self.keys.items()]
+                heapq.heapify(self._ends)
         return e
 
     def _evict(self, now: float) -> None:
         """Drop what has expired, else the window that ends first (ties by key)."""
-        gone = [k for k, e in self.keys.items() if now > e[2]] or [min(self.keys, key=lambda k: (self.keys[k][2], str(k)))]
-        for k in gone:
-            del self.keys[k]
+        dropped = False
+        while self._ends:
+            end, _, age, key = self._ends[0]
+            e = self.keys.get(key)
+            if e is not None and e[3] == age and e[2] == end:
+                if dropped and not now > end:
+                    return
+                del self.keys[key]
+                dropped = True
+                if not now > end:
+                    heapq.heappop(self._ends)
+                    return
+            heapq.heappop(self._ends)
 
     def allow(self, key, limit: int, now: float) -> bool:
         e = self._entry(key, now)

@@ -184,6 +184,38 @@ def test_fixed_windows(spark):
     assert ratelimit.state_at(out, "k", "ts", "id", at(300)).first()["count"] == 0
 
 
+def test_a_bound_on_keys_is_kept_without_looking_at_all_keys():
+    looked = [0]
+
+    class Key(str):
+        def __str__(self):
+            looked[0] += 1
+            return str.__str__(self)
+
+    for seed in range(6):
+        r = random.Random(seed)
+        bound, w, open_ = r.choice([1, 3, 20]), None, {}
+        w = ratelimit.FixedWindow(10, max_keys=bound)
+        now = 0
+        for _ in range(3000):
+            now += r.choice([0, 0, 1, 2, 15]) if seed < 4 else r.choice([-3, 0, 1, 4])  # times may go back
+            k, n = r.choice([1, "1", None, *"abcdefghijk", *range(30)]), r.choice([None, 1, 2])
+            if k not in open_ and len(open_) >= bound:
+                for gone in [x for x in open_ if now > open_[x][1]] or [min(open_, key=lambda x: (open_[x][1], str(x)))]:
+                    del open_[gone]
+            if k not in open_ or now > open_[k][1]:
+                open_[k] = [0, now + 10, False]
+            open_[k][0] += n or 1
+            open_[k][2] |= n is None and open_[k][0] > 3
+            assert (w.allow(k, 3, now) != open_[k][2]) if n is None else (w.add(k, n, now) == open_[k][0])
+            assert {x: (e[0], e[2]) for x, e in w.keys.items()} == {x: (c, end) for x, (c, end, _) in open_.items()}
+            assert len(w._ends) <= 2 * bound + 16
+    w = ratelimit.FixedWindow(1000, max_keys=500)
+    for j in range(3000):
+        w.allow(Key(j), 3, j)
+    assert looked[0] < 30_000  # each of 2500 evictions looked at all 500
+
+
 def test_folds_stream_over_batches(spark):
     r = random.Random(4)
     rows = [(r.choice(["a", "b", None]), at(r.randrange(500)), r.choice([1.0, 2.5, None]), j) for j in range(700)]
